@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gramward.llm import bpe, langid, packing, simhash, substring
+from gramward.llm import bpe, langid, packing, simhash, substring, vectors
 from gramward.llm.common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -32,5 +37,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_substring_dedup, op5_packing, op6_language_id, op8_simhash)}
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_dedup, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_language_id, op8_simhash, op10_vector_search,
+)}
 ORACLES: dict[str, str] = {}
