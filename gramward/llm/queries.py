@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramward.llm import bpe, chat, langid, packing, simhash, substring, vectors, warc
+from gramward.llm import bpe, chat, html, langid, packing, simhash, substring, vectors, warc
 from gramward.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -50,7 +54,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_dedup, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_language_id,
+    op1_embedding_dedup, op2_html_text, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_language_id,
     op7_warc, op8_simhash, op9_chat_preferences, op10_vector_search,
 )}
 ORACLES: dict[str, str] = {
