@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from gramward.llm.common import small_batches
 UNDETERMINED = "und"
 #: Bounds of the fitted model: rows sampled for each language, and entries kept for each language and table.
 SAMPLE_ROWS, WORDS_KEPT, GRAMS_KEPT = 1000, 30_000, 10_000
-GRAM_LENGTHS = (5, 4, 3, 2, 1)
+GRAM_LENGTHS = (4, 3, 2, 1)
 #: Evidence counts as that of at most so many words, so that the score is not 1 for every long text.
 EVIDENCE = 16
 CACHE = 200_000
@@ -41,6 +41,13 @@ class Model:
     langs: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
+    ready: Scorer | None = field(default=None, repr=False)
+
+    def scorer(self) -> Scorer:
+        """One for each worker process, whose cache goes on from task to task."""
+        if self.ready is None:
+            self.ready = Scorer(self)
+        return self.ready
 
 
 def _cut(word: Column) -> Column:
@@ -93,63 +100,82 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 class Scorer:
-    """Scores tokens (runs without white space) through a bounded cache of their score rows."""
+    """Scores tokens (runs without white space) through a bounded cache of their score rows.
+
+    The tables are one matrix; a text's new words are looked up one by one, and their rows are
+    averaged in one step.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.word = model, regex.compile(WORD)
+        self.langs, self.word = model.langs, regex.compile(WORD)
+        rows: list[np.ndarray] = []
+
+        def indexed(table: dict[str, np.ndarray]) -> dict[str, int]:
+            first = len(rows)
+            rows.extend(table.values())
+            return {item: first + k for k, item in enumerate(table)}
+
+        self.words = indexed(model.words)
+        self.grams = [(length, indexed(model.grams.get(length, {}))) for length in GRAM_LENGTHS]
+        rows.append(np.zeros(len(model.langs)))  # of a word with no known n-gram
+        self.table = np.array(rows).reshape(len(rows), len(model.langs))
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs) + 1))
+        self.rows = np.zeros((1024, len(self.langs) + 1))
 
-    def word_score(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
+    def _entries(self, word: str) -> list[int]:
+        """The rows whose mean is the word's score."""
+        known = self.words.get(word)
         if known is not None:
-            return known
-        for length in GRAM_LENGTHS:
-            table = self.model.grams.get(length, {})
-            marked = f"_{word}_" if length > 1 else word
-            found = [table[g] for g in (marked[i : i + length] for i in range(len(marked) - length + 1)) if g in table]
+            return [known]
+        marked = f"_{word}_"
+        for length, table in self.grams:
+            cut = marked if length > 1 else word
+            found = [k for k in [table.get(cut[i : i + length]) for i in range(len(cut) - length + 1)] if k is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.model.langs))
-
-    def _row(self, token: str) -> int:
-        words = self.word.findall(token)
-        if len(self.at) >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[k := len(self.at)]
-        row[:] = 0
-        for word in words:
-            row[:-1] += self.word_score(word)
-        row[-1] = len(words)
-        if len(token) <= 64:
-            self.at[token] = k
-        return k
+                return found
+        return [len(self.table) - 1]
+
+    def _learn(self, tokens: list[str]) -> np.ndarray:
+        """Score rows of new tokens: sums over their words, and the number of words."""
+        flat, sizes, owner = [], [], []
+        for k, token in enumerate(tokens):
+            word = token.strip(".,;:!?\"'()")
+            for w in (word,) if word.isalpha() else self.word.findall(token):
+                entries = self._entries(w)
+                flat += entries
+                sizes.append(len(entries))
+                owner.append(k)
+        out = np.zeros((len(tokens), len(self.langs) + 1))
+        if sizes:
+            starts = np.cumsum([0, *sizes[:-1]])
+            means = np.add.reduceat(self.table[flat], starts) / np.array(sizes)[:, None]
+            np.add.at(out[:, :-1], owner, means)
+            np.add.at(out[:, -1], owner, 1)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter((text or "").lower().split())
         if len(self.at) + len(counts) > CACHE:
             self._reset()
-        total = np.zeros(len(self.model.langs) + 1)
-        known, weights = [], []
-        for token, n in counts.items():
-            k = self.at.get(token)
-            if k is None:
-                k = self._row(token)
-                if token not in self.at:
-                    total += self.rows[k] * n
-                    continue
-            known.append(k)
-            weights.append(n)
-        if known:
-            total += np.array(weights, float) @ self.rows[known]
-        if not total[-1] or not self.model.langs:
+        places = [self.at.get(t) for t in counts]
+        if None in places:
+            new = [t for t, k in zip(counts, places, strict=True) if k is None]
+            first = len(self.at)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = self._learn(new)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            fresh = iter(range(first, first + len(new)))
+            places = [next(fresh) if k is None else k for k in places]
+        total = np.array([*counts.values()], float) @ self.rows[places] if places else np.zeros(len(self.langs) + 1)
+        if not total[-1] or not self.langs:
             return UNDETERMINED, 0.0
         logs = total[:-1] / total[-1] * min(total[-1], EVIDENCE)
         best = int(logs.argmax())
-        return self.model.langs[best], float(1 / np.exp(logs - logs[best]).sum())
+        return self.langs[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
 def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -165,7 +191,7 @@ def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred",
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
