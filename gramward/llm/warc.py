@@ -30,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 _GZIP = b"\x1f\x8b\x08"
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
+#: Headers without which there is no record.
+MANDATORY = ("warc-record-id", "warc-type", "warc-date")
 #: A record larger than this is no record: the length in a damaged header.
 MOST_BYTES = 1 << 31
 
@@ -87,6 +89,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
         if not colon:
             raise ValueError("malformed header")
         headers[name.strip().lower()] = value.strip()
+    if any(name not in headers for name in MANDATORY):
+        raise ValueError("mandatory header missing")
     size = headers.get("content-length", "")
     if not size.isdecimal() or int(size) > MOST_BYTES:
         raise ValueError("no content length")
