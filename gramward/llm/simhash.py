@@ -163,8 +163,9 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
 
 #: For similar texts: lanes of 64 bits, classes of shingles, and shingles of a class that make its key.
 LANES, CLASSES, CLASS_SHINGLES = 4, 16, 4
-#: Bits of 256 in which texts of a similarity of 0.8 on shingles differ (39 expected), and half a deviation more.
-SIMILAR_BITS = 42
+#: Bits of 256. Texts of a similarity of 0.8 on shingles differ in 39 and a deviation of 6, so this finds 94 of 100
+#: of them, 99.9 at 0.86, and by mistake 44 of 100 at 0.7, 7 at 0.6 and none below 0.4.
+SIMILAR_BITS = 48
 #: Rows of a bucket that each of its rows is compared with, in the order of their fingerprints, besides the first.
 NEIGHBOURS = 8
 
