@@ -176,6 +176,28 @@ def test_links_connect_as_brute_force(spark, cap, monkeypatch):
     assert roots(len(signed), found) == roots(len(signed), exact)
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_bucket_links_connect_as_brute_force(spark, block, monkeypatch):
+    """Buckets of 1 to 60 nodes, chains among them, in one block and in many."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    draw, lanes, spread = random.Random(12), [], []
+    for key, size in enumerate([1, 2, 2, 5, 9, 10, 60]):
+        own = [draw.getrandbits(64) for _ in range(simhash.LANES)]
+        for _ in range(size):
+            spread.append((len(lanes), key))
+            lanes.append(list(own))
+            for _ in range(draw.choice([20, 90, 90, 400])):
+                own[draw.randrange(simhash.LANES)] ^= 1 << draw.randrange(64)
+    spread += [(k, 99) for k in range(0, len(lanes), 3)]
+    names = [f"l{k}" for k in range(simhash.LANES)]
+    signed = np.array(lanes, np.uint64).view(np.int64).tolist()
+    sketches = spark.createDataFrame([(k, *x) for k, x in enumerate(signed)], "node long, " + ", ".join(f"{n} long" for n in names))
+    found = [(r.a, r.b) for r in simhash.bucket_links(spark.createDataFrame(spread, "node long, key long"), sketches).collect()]
+    shared = {(a, b) for a, x in spread for b, y in spread if x == y and b < a}
+    near = [(a, b) for a, b in shared if sum((x ^ y).bit_count() for x, y in zip(lanes[a], lanes[b], strict=True)) <= simhash.SIMILAR_BITS]
+    assert len(near) > 40 and roots(len(lanes), found) == roots(len(lanes), near)
+
+
 def test_near_copies_go_and_clean_documents_stay(spark):
     draw = random.Random(9)
     rows = []
