@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,9 +166,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 6) -> DataFrame:
     """Write gzip archives, a record for each row, into ``folder``; the manifest ``archive, records, bytes``.
 
-    A task writes archives named by its partition, each under a name of its attempt first and then
-    renamed, so that a repeated task replaces what a lost one left. ``folder`` is a URI of any
-    file system that pyarrow knows.
+    Archives are named by partition and attempt, so that no two attempts of a task write one file.
+    The manifest lists those of the attempts that count; what a lost one left is not in it (see
+    ``read_back``). ``folder`` is a URI of any file system that pyarrow knows.
     """
     small_batches(pages.sparkSession, 256, "8m")
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
@@ -182,11 +182,9 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
             nonlocal number, held, count
             if not count:
                 return
-            name = f"{root}/part-{task.partitionId():06d}-{number:05d}.warc.gz"
-            draft = f"{name}.{task.taskAttemptId()}.draft"
-            with store.open_output_stream(draft, compression=None) as file:
+            name = f"{root}/part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.warc.gz"
+            with store.open_output_stream(name, compression=None) as file:
                 file.write(held.getvalue())
-            store.move(draft, name)
             out.append((name, count, held.tell()))
             number, held, count = number + 1, io.BytesIO(), 0
 
@@ -219,7 +217,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         "record_type": "string", "refers_to": "long", "payload": "binary", "payload_bytes": "long", "payload_digest": "string",
     }
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(folder)
-    files = files.where(~F.col("path").endswith(".draft")).select("path", "content")
+    files = files.select("path", "content")
 
     def page(value: str) -> int | None:
         found = _PAGE.fullmatch(value)
@@ -258,6 +256,19 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
+def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the records of the manifest's archives.
+
+    Archives that it does not list, as those of lost attempts, do not count. Only these small rows meet it.
+    """
+    def name(path: str) -> Column:
+        return F.substring_index(path, "/", -1)
+
+    found = read_warc(spark, folder).where("gap is null").withColumn("_name", name("archive"))
+    listed = manifest.select(name("archive").alias("_name"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "_name").join(listed, "_name", "left_semi").drop("_name")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each row, as read back from archives.
 
@@ -271,4 +282,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     manifest = materialise(write_warc(with_revisits(pages), uri), "manifest")
     if not manifest.head(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warc(spark, uri).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_back(spark, uri, manifest)

@@ -142,6 +142,15 @@ def test_read_warc_logs_gaps(spark, tmp_path):
     assert bytes(rows[1].payload) == body
 
 
+def test_archives_of_lost_attempts_do_not_count(spark, tmp_path):
+    pages = warc.with_revisits(spark.createDataFrame([(k, "u", f"page {k} " * 30, "?") for k in range(40)], PAGES).repartition(4))
+    manifest = warc.write_warc(pages, f"file://{tmp_path}", archive_bytes=500).cache()
+    listed = {r.archive.rsplit("/", 1)[1] for r in manifest.collect()}
+    assert {p.name for p in tmp_path.iterdir()} == listed and len(listed) > 4
+    (tmp_path / "part-000000-00000-999999.warc.gz").write_bytes((tmp_path / min(listed)).read_bytes())
+    assert sorted(r.page_id for r in warc.read_back(spark, str(tmp_path), manifest).collect()) == list(range(40))
+
+
 def test_html_text(spark):
     page = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
     <div class="ad">Buy now.</div><article><h1>A &amp; B</h1><p><b>First   part</b>ly, of the text that goes on for a while.<br>Then more, and more of it, as it should be.
