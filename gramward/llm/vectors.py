@@ -48,9 +48,9 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = ROUNDS, seed: i
     return np.unique(centres, axis=0)
 
 
-def fit_cells(classes: DataFrame, total: int, labels: int) -> dict[int, np.ndarray]:
-    """Centroids for each vector length, from a bounded sample by hash."""
-    cells = min(MAX_CELLS, max(1, round(total / max(labels, 1) / CELL_ROWS)))
+def fit_cells(classes: DataFrame, total: int, largest: int) -> dict[int, np.ndarray]:
+    """Centroids for each vector length, from a bounded sample by hash; as many as the ``largest`` label needs."""
+    cells = min(MAX_CELLS, max(1, round(largest / CELL_ROWS)))
     if cells == 1:
         return {}
     share = min(1.0, SAMPLE / total)
@@ -117,8 +117,8 @@ def near_vectors(rows: DataFrame, alike: float = 0.93) -> DataFrame:
     classes = rows.where(fit).groupBy("label", plus_zero.alias("vector")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes, "classes")
     small_batches(spark, 4096)
-    total, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    shared = spark.sparkContext.broadcast(fit_cells(classes, total, labels))
+    total, largest = classes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(fit_cells(classes, total, largest))
 
     def assign(frames):
         for frame in frames:
