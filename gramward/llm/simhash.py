@@ -163,47 +163,81 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
     )
 
 
-#: For similar texts: lanes of 64 bits, classes of shingles, and shingles of a class that make its key.
-LANES, CLASSES, CLASS_SHINGLES = 12, 16, 4
-#: Bits of 768. Texts of a similarity of 0.8 on shingles differ in 117 and a deviation of 10, so this finds 97 of 100
-#: of them, all at 0.85, and by mistake 15 of 100 at 0.7 and none at 0.6 or below.
-SIMILAR_BITS = 136
-#: Rows of a block of a bucket; buckets of up to SMALL_BUCKET rows are compared many at a time.
-BLOCK_ROWS, SMALL_BUCKET = 2048, 9
+#: For similar texts: classes of shingles, and shingles of a class that make its key.
+CLASSES, CLASS_SHINGLES = 16, 4
+#: Lanes of 64 bits of a long fingerprint, and the bits in which linked ones differ at most.
+LANES, SIMILAR_BITS = 12, 136
+#: Rows and shingles of a block of a bucket; buckets of up to SMALL_BUCKET rows are compared many at a time.
+BLOCK_ROWS, BLOCK_SHINGLES, SMALL_BUCKET = 2048, 1 << 20, 9
 
 
-def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """An independent 64-bit hash from another, by the finaliser of splitmix64."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * lane) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sketch(text: str | None, width: int) -> tuple[int, list[int], list[int]]:
-    """Of a text's distinct shingles: a hash of them all, the lanes of a long fingerprint, and a key for each class.
+def sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
+    """Of a text's distinct shingles: a hash of them all, their number, and a key for each class.
 
     A key is made of the least few shingle hashes of a class (the class is a hash's top bits),
     so texts that share most shingles share a key in some class: at a similarity of 0.8, with
     4 shingles and 16 classes, in 999 of 1000 cases.
     """
     own = np.unique(shingle_hashes(text, width))
-    lanes = [own, *(_mixed(own, k) for k in range(1, LANES))]
     whole = xxhash.xxh3_64_intdigest(own.tobytes())
     keys = []
     shift = np.uint64(BITS - CLASSES.bit_length() + 1)
     for k, part in enumerate(np.split(own, np.searchsorted(own >> shift, np.arange(1, CLASSES).astype(np.uint64)))):
         if len(part):
             keys.append(xxhash.xxh3_64_intdigest(part[:CLASS_SHINGLES].tobytes(), seed=k))
-    return whole, [fold(x) for x in lanes], keys
+    return whole, len(own), keys
 
 
 def _apart(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(rows ^ other).sum(axis=-1, dtype=np.int64)
 
 
-def bit_forest(left: np.ndarray, right: np.ndarray, lanes: np.ndarray, most: int = SIMILAR_BITS) -> list[tuple[int, int]]:
-    """Edges that connect what pairs of ``left`` x ``right`` (rows of ``lanes``) within ``most`` bits connect.
+class Bits:
+    """Rows of lanes; alike are those within ``SIMILAR_BITS``."""
+
+    def __init__(self, lanes: np.ndarray):
+        self.lanes = lanes
+
+    def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return _apart(self.lanes[a], self.lanes[b]) <= SIMILAR_BITS
+
+
+class Shingles:
+    """Sorted sets of shingles, none empty; alike are those with a Jaccard similarity of 0.8 or more, exactly.
+
+    That is 9 * shared >= 4 * (sizes of both), or a symmetric difference of a ninth of the sizes. The difference is
+    never less than that of the sets' parities on a few bits, so most pairs need no more than these.
+    """
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes = values, sizes
+        self.stops = np.cumsum(sizes)
+        self.starts = self.stops - sizes
+        bits, parities = LANES * 64, []
+        for at in range(0, len(sizes), 512):  # bounded memory
+            some = sizes[at : at + 512]
+            own = values[self.starts[at] : self.stops[at + len(some) - 1]] % np.uint64(bits)
+            counts = np.bincount(np.repeat(np.arange(len(some)) * bits, some) + own.astype(np.int64), minlength=len(some) * bits)
+            parities.append(np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1).view(np.uint64))
+        self.parity = np.concatenate(parities) if parities else np.empty((0, LANES), np.uint64)
+
+    def _set(self, at: int) -> np.ndarray:
+        return self.values[self.starts[at] : self.stops[at]]
+
+    def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        total = self.sizes[a] + self.sizes[b]
+        found = _apart(self.parity[a], self.parity[b]) * 9 <= total
+        for k in np.flatnonzero(found):
+            one, other = self._set(a[k]), self._set(b if np.ndim(b) == 0 else b[k])
+            if len(one) > len(other):
+                one, other = other, one
+            shared = np.count_nonzero(other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one)
+            found[k] = 9 * shared >= 4 * total[k]
+        return found
+
+
+def forest(left: np.ndarray, right: np.ndarray, rows: Bits | Shingles) -> list[tuple[int, int]]:
+    """Edges that connect what alike pairs of ``left`` x ``right`` connect.
 
     What is reached once is not compared again, so that a bucket of near copies costs a few passes.
     """
@@ -217,15 +251,16 @@ def bit_forest(left: np.ndarray, right: np.ndarray, lanes: np.ndarray, most: int
             for at in front:
                 if not len(rest[side]):
                     break
-                near = _apart(lanes[rest[side]], lanes[at]) <= most
-                reached += rest[side][near].tolist()
+                near = rows.alike(rest[side], at)
+                found = rest[side][near].tolist()
+                edges += [(int(at), x) for x in found]
+                reached += found
                 rest[side] = rest[side][~near]
-            edges += [(int(root), x) for x in reached]
             front, side = reached, 1 - side
     return edges
 
 
-def _group_links(ids: np.ndarray, lanes: np.ndarray, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(ids: np.ndarray, rows: Bits | Shingles, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links in whole groups, given in order of ``group``; ``blocks`` holds i, j and the row's own block."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -233,90 +268,123 @@ def _group_links(ids: np.ndarray, lanes: np.ndarray, group: np.ndarray, blocks:
     a, b = [], []
     for lag in range(1, SMALL_BUCKET):
         at = np.flatnonzero(small[:-lag] & (group[lag:] == group[:-lag]))
-        at = at[_apart(lanes[at], lanes[at + lag]) <= SIMILAR_BITS]
+        at = at[rows.alike(at, at + lag)]
         a.append(ids[at])
         b.append(ids[at + lag])
     for start, size in zip(starts, sizes, strict=True):
         if not small[start]:
             i, j, own = blocks[start : start + size].T
-            rows = np.arange(start, start + size)
-            edges = np.array(bit_forest(rows[own == i], rows[own == j], lanes), np.int64).reshape(-1, 2)
+            at = np.arange(start, start + size)
+            edges = np.array(forest(at[own == i], at[own == j], rows), np.int64).reshape(-1, 2)
             a.append(ids[edges[:, 0]])
             b.append(ids[edges[:, 1]])
     return np.concatenate(a), np.concatenate(b)
 
 
+def met_rows(spread: DataFrame) -> DataFrame:
+    """``spread(node, key[, size])`` with the number of blocks, of rows whose key another has."""
+    counts = spread.groupBy("key").agg(F.count("*").alias("rows"), *([F.sum("size").alias("total")] if "size" in spread.columns else []))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
+    if "size" in spread.columns:
+        blocks = F.greatest(blocks, F.ceil(F.col("total") / BLOCK_SHINGLES))
+    return spread.join(counts.where("rows > 1").select("key", blocks.cast("int").alias("blocks")), "key").select("node", "key", "blocks")
+
+
 def bucket_links(spread: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes with a common key within ``SIMILAR_BITS``.
+    """Links ``(a, b)`` that connect all nodes with a common key that are alike.
 
-    ``spread(node, key)``; ``sketches(node, lanes)``. A bucket is dealt to blocks by hash, and each
-    pair of blocks is one bounded group, whatever the size of the bucket. Keys are counted first,
-    so that only rows that meet another take their lanes along.
+    ``spread(node, key)``, or what ``met_rows`` makes of it; ``sketches(node, shingles)``, to be held against each
+    other exactly, or ``sketches(node, lanes)``, by bits. A bucket is dealt to blocks by hash, and each pair of blocks is
+    one bounded group, whatever the size of the bucket. Keys are counted first, so that only rows that meet another
+    take their sketches along.
     """
-    lanes = [c for c in sketches.columns if c != "node"]
-    sizes = spread.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = spread.join(sizes, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).join(sketches, "node")
+    carried = [c for c in sketches.columns if c != "node"]
+    met = (spread if "blocks" in spread.columns else met_rows(spread)).join(sketches, "node")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *lanes)
+    dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *carried)
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     small_batches(spread.sparkSession, 8192)
+    exact = carried == ["shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(x: np.ndarray) -> pa.RecordBatch:
+        def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            x = np.concatenate([x for x, _ in parts])
+            rest = x[:, 5:]
+            rows = Shingles(np.concatenate([v for _, v in parts]).view(np.uint64), rest[:, 0]) if exact else Bits(rest.view(np.uint64))
             group = np.cumsum(np.r_[False, (x[1:, :3] != x[:-1, :3]).any(axis=1)])
-            a, b = _group_links(x[:, 4], x[:, 5:].view(np.uint64), group, x[:, 1:4])
+            a, b = _group_links(x[:, 4], rows, group, x[:, 1:4])
             keep = a != b
             return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            columns, values = batch.columns, np.empty(0, np.int64)
+            if exact:
+                values = columns[-1].flatten().to_numpy(zero_copy_only=False)
+                columns[-1] = columns[-1].value_lengths()
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
             if not len(x):
                 continue
             last = np.flatnonzero((x[:, :3] != x[-1, :3]).any(axis=1))
-            if len(last) or (held and (held[-1][-1, :3] != x[-1, :3]).any()):
+            if len(last) or (held and (held[-1][0][-1, :3] != x[-1, :3]).any()):
                 cut = int(last[-1]) + 1 if len(last) else 0
-                yield linked(np.concatenate([*held, x[:cut]]))
+                at = int(x[:cut, 5].sum()) if exact else 0
+                yield linked([*held, (x[:cut], values[:at])])
                 held = []
-                x = x[cut:]
-            held.append(x)
+                x, values = x[cut:], values[at:]
+            held.append((x, values))
         if held:
-            yield linked(np.concatenate(held))
+            yield linked(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(heads: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, shingles``: the sorted distinct shingle hashes of the rows ``heads(node, _id, _key)`` of ``docs``."""
+    small_batches(docs.sparkSession)
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_own"), "text")
+    texts = keyed.join(heads, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>")
+
+
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id, row_key, node, root, head``: groups of texts with a similarity of 0.8 or more on shingles.
 
-    At that similarity one bit in seven differs, so that a pigeonring key would hold 6 bits and
-    choose nothing; candidates therefore share a class key (see ``sketch``), and are linked by
-    the Hamming distance of 768-bit SimHash fingerprints. Every two texts of a bucket are held
-    against each other, in blocks that give a forest. Texts with equal shingles are one node.
+    At that similarity one bit of a SimHash fingerprint in seven differs, so that a pigeonring key would hold 6 bits and
+    choose nothing, and a limit on bits takes many a pair at 0.7 for one at 0.8. Candidates therefore share a class key
+    (see ``sketch``), and are linked by the overlap of their whole shingle sets. Every two texts of a bucket are held
+    against each other, in blocks that give a forest. Texts with equal shingles are one node; only
+    nodes that meet another get their sets, from the texts once more.
     ``head`` is true for the one row that stays: the least (doc_id, row_key), null ids last.
     """
     small_batches(docs.sparkSession)
-    lanes = [f"l{k}" for k in range(LANES)]
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_key", T.LongType()), T.StructField("node", T.LongType()),
-        *(T.StructField(n, T.LongType()) for n in lanes), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         for batch in batches:
             got = [sketch(t, width) for t in batch.column(2).to_pylist()]
             keys = pa.array([np.array(x, np.uint64).view(np.int64) for _, _, x in got], pa.list_(pa.int64()))
-            columns = [signed([x for x, _, _ in got]), *(signed([x[k] for _, x, _ in got]) for k in range(LANES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, keys], names=schema.names)
+            whole = pa.array(np.array([x for x, _, _ in got], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array([n for _, n, _ in got], pa.int64()), keys], names=schema.names)
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     found = materialise(rows.mapInArrow(run, schema), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    nodes = found.groupBy("node").agg(F.min(order).alias("head"), *(F.min(n).alias(n) for n in lanes), F.first("keys").alias("keys"))
+    nodes = found.groupBy("node").agg(F.min(order).alias("head"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
-    edges = bucket_links(nodes.select("node", F.explode("keys").alias("key")), nodes.select("node", *lanes))
+    met = materialise(met_rows(nodes.select("node", "size", F.explode("keys").alias("key"))), "met")
+    heads = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("head.doc_id").alias("_id"), F.col("head.row_key").alias("_key"))
+    edges = bucket_links(met, materialise(shingle_sets(heads, docs, width), "shingles"))
     roots = components(edges).withColumnRenamed("node", "n")
     placed = materialise(nodes.join(roots, nodes.node == roots.n, "left").select("node", F.coalesce("root", "node").alias("root"), "head"), "placed")
     heads = placed.groupBy("root").agg(F.min("head").alias("least"))

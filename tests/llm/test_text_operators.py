@@ -214,6 +214,52 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [10 * k for k in range(40)]
 
 
+def test_groups_are_those_of_exact_similarity(spark):
+    """Pairs around 0.8 of any length are linked just if their shingle sets are that alike, and not by an estimate."""
+    draw = random.Random(21)
+    rows = []
+    for k in range(400):
+        text = [f"t{k}w{i}" for i in range(draw.choice([8, 8, 13, 30, 60, 120, 400]))]
+        other = list(text)
+        if len(text) < 14:
+            other += [f"t{k}more{i}" for i in range(1 if len(text) == 8 else draw.choice([2, 3]))]
+        else:
+            for _ in range(max(1, round(len(text) * draw.uniform(0.01, 0.06)))):
+                other[draw.randrange(len(text))] = f"t{k}x{draw.randrange(10**6)}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+
+    def shingles(text):
+        found = text.split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+    expected = set()
+    for (_, one), (b, other) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(one), shingles(other)
+        if 5 * len(x & y) < 4 * len(x | y):
+            expected.add(b)
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 100 < len(expected) < 300 and kept == expected | set(range(0, 800, 2))
+
+
+@pytest.mark.parametrize(("rows", "shingles"), [(3, 1 << 20), (2048, 64), (2048, 1 << 20)])
+def test_shingle_links_connect_as_brute_force(spark, rows, shingles, monkeypatch):
+    """A drifting chain, in one bucket and in many blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    draw = random.Random(22)
+    sets, own = [], {draw.getrandbits(62) for _ in range(18)}
+    for _ in range(60):
+        sets.append(sorted(own))
+        for gone in draw.sample(sorted(own), draw.choice([1, 1, 2, 3])):
+            own.remove(gone)
+            own.add(draw.getrandbits(62))
+    spread = spark.createDataFrame([(k, len(x), key) for k, x in enumerate(sets) for key in ([1] if k % 3 else [1, 2])], "node long, size long, key long")
+    found = [(r.a, r.b) for r in simhash.bucket_links(spread, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")).collect()]
+    alike = lambda a, b: 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})
+    near = [(a, b) for a in range(60) for b in range(a) if alike(a, b)]
+    assert all(alike(a, b) for a, b in found) and 20 < len(near) < 200 and roots(60, found) == roots(60, near)
+
+
 def test_keep_one_edge_cases(docs, empty):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").count() == 1
