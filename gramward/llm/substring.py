@@ -1,14 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentence parts (at sentence and clause marks and line ends). From each part
-starts one run: the fewest consecutive parts, two at least, with ``MIN_WORDS`` words (a part of
-``LONG_PART`` words is a run of its own). Runs are hashed and met globally; every run but the
+A text is cut into sentence parts (at sentence and clause marks and line ends), and a part of more than
+``LONG_PART`` words once more where its own words say so, so that a passage without marks is cut alike
+whatever stands around it. From each part starts one run: the fewest consecutive parts, two at least, with ``MIN_WORDS``
+words (a part of ``LONG_PART`` words is a run of its own). Runs are hashed and met globally; every run but the
 first is a repeat, and the parts it covers go.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,52 +22,105 @@ from pyspark.sql import types as T
 from gramward.llm.common import small_batches
 
 MIN_WORDS, LONG_PART = 15, 20
-_CUT = re.compile(r"(?<=[.!?;:,])\s+|\n\s*")
+#: Of so many places in a row between the words of a long part, one at least is a cut.
+CUT_WINDOW = 8
+_CUT = re.compile(r"(?<=[.!?;:,])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61])\s*|\n\s*")
+#: Scripts without spaces (Thai to Khmer, kana, ideographs): each character counts as a word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SPACED, _UNSPACED, _WORD = re.compile(r"\S+"), re.compile(f"[{_ALONE}]"), re.compile(f"[{_ALONE}]|[^\\s{_ALONE}]+")
 
 
-def parts(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each part, with the white space after it; together the whole text."""
+def _cuts(words: list[str]) -> list[int]:
+    """Words before which a long part is cut: where the hash of a word and the one before is least of ``CUT_WINDOW`` in a row.
+
+    This depends on the words of the window only, so that copies are cut alike but for the window at each edge.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    hashes = [digest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False)]
+    waiting, found = deque(), []
+    for k, x in enumerate(hashes):
+        while waiting and hashes[waiting[-1]] >= x:
+            waiting.pop()
+        waiting.append(k)
+        if waiting[0] <= k - CUT_WINDOW:
+            waiting.popleft()
+        if k >= CUT_WINDOW - 1 and (not found or found[-1] != waiting[0] + 1):
+            found.append(waiting[0] + 1)
+    return found
+
+
+def _pieces(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[int]]:
+    """(start, end) of each part, its words, and the numbers of the parts that end a long part."""
     ends = [m.end() for m in _CUT.finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
-    return [(a, b) for a, b in zip([0, *ends], ends, strict=False) if b > a]
+    alone = not text.isascii() and _UNSPACED.search(text) is not None
+    spans, words, closed = [], [], []
+    for a, b in zip([0, *ends], ends, strict=False):
+        if b <= a:
+            continue
+        own = _WORD.findall(text, a, b) if alone else text[a:b].split()
+        if len(own) <= LONG_PART:
+            spans.append((a, b))
+            words.append(own)
+            continue
+        at = [m.start() for m in (_WORD if alone else _SPACED).finditer(text, a, b)]
+        cuts = [0, *_cuts(own), len(own)]
+        edges = [a, *(at[k] for k in cuts[1:-1]), b]
+        spans += zip(edges, edges[1:], strict=False)
+        words += [own[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        closed.append(len(spans) - 1)
+    return spans, words, closed
+
+
+def parts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each part, with the white space after it; together the whole text."""
+    return _pieces(text)[0]
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
     """(hash as signed 64 bits, first part, last part) of each run, in order.
 
-    The text's end closes one run more, so that copies are covered up to their last part.
+    The text's end closes one run more, as does the end of each long part, so that copies are covered up to their
+    last part. Such a run's first part k is given as ~k where another run begins at k.
     """
-    words = [text[a:b].split() for a, b in parts(text)]
+    return _runs(_pieces(text))
+
+
+def _runs(pieces: tuple[list[tuple[int, int]], list[list[str]], list[int]]) -> list[tuple[int, int, int]]:
+    _, words, closed = pieces
     sizes = [len(w) for w in words]
     plain = [" ".join(w) for w in words]
     out, stop, total, count = [], 0, 0, len(words)
+    last: dict[int, int] = {}
 
-    def hashed(i: int, j: int) -> tuple[int, int, int]:
+    def hashed(i: int, j: int) -> int:
         x = xxhash.xxh3_64_intdigest(" ".join(plain[i:j]).encode("utf-8", "surrogatepass"))
-        return x - (1 << 64) if x >> 63 else x, i, j - 1
+        return x - (1 << 64) if x >> 63 else x
 
     for i in range(count):
         if i >= stop:
             stop, total = i, 0
         if sizes[i] >= LONG_PART:
-            out.append(hashed(i, i + 1))
+            last[i] = i
         else:
             while stop < count and (total < MIN_WORDS or stop < i + 2):
                 total += sizes[stop]
                 stop += 1
             if total < MIN_WORDS or stop < i + 2:
                 break
-            out.append(hashed(i, stop))
+            last[i] = stop - 1
         total -= sizes[i] if stop > i else 0
-    if count > 1 and (not out or out[-1][2] < count - 1):
-        i, total = count, 0
-        while i and (total < MIN_WORDS or i > count - 2):
+    out = [(hashed(i, j + 1), i, j) for i, j in last.items()]
+    ended = set(last.values())
+    for end in {*closed, count - 1} - ended if count > 1 else ():
+        i, total = end + 1, 0
+        while i and (total < MIN_WORDS or i > end - 1):
             i -= 1
             total += sizes[i]
         if total >= MIN_WORDS:
-            out.append(hashed(i, count))
-    return out
+            out.append((hashed(i, end + 1), ~i if i in last else i, end))
+    return sorted(out, key=lambda x: (~x[1] if x[1] < 0 else x[1], x[2]))
 
 
 def _row_key() -> list:
@@ -110,7 +165,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = docs.select(*_row_key(), "text").mapInArrow(run, schema)
     # What is sure needs no meeting: it is spread by its row.
     met = Window.partitionBy("hash", F.when(F.col("sure"), F.xxhash64("row_key", "first"))).orderBy(
-        F.asc_nulls_last("doc_id"), "row_key", "first"
+        F.asc_nulls_last("doc_id"), "row_key", F.when(F.col("first") < 0, F.bitwise_not("first")).otherwise(F.col("first"))
     )
     other = (F.col("doc_id").eqNullSafe(F.col("head.doc_id"))) & (F.col("row_key") == F.col("head.row_key")) & (F.col("first") == F.col("head.first"))
     ranked = found.withColumn("head", F.first(F.struct("doc_id", "row_key", "first")).over(met))
@@ -119,10 +174,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def remove(text: str, firsts: set[int]) -> tuple[str, int, int]:
     """The text without the parts of the runs that begin at ``firsts``; parts removed, and parts."""
-    spans, gone = parts(text), set()
-    for _, i, j in runs(text):
+    pieces, gone = _pieces(text), set()
+    spans = pieces[0]
+    for _, i, j in _runs(pieces):
         if i in firsts:
-            gone.update(range(i, j + 1))
+            gone.update(range(~i if i < 0 else i, j + 1))
     if not gone:
         return text, 0, len(spans)
     return "".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in gone).rstrip(), len(gone), len(spans)

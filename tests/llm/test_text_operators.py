@@ -304,6 +304,47 @@ def test_substring_dedup(spark, docs, empty):
     assert substring.drop_repeats(empty).count() == 0
 
 
+def windows(text, size=50):
+    found = text.split()
+    return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)}
+
+
+def test_passages_without_marks(spark):
+    """No 50-word window of an earlier text stays whole, whatever stands around it; texts of their own stay as they are."""
+    draw = random.Random(31)
+    token = lambda: "".join(draw.choice("abcdefghij|") for _ in range(draw.randint(2, 7)))
+    passages = [" ".join(token() for _ in range(n)) for n in (51, 60, 80, 120) for _ in range(25)]
+    rows = []
+    for k in range(300):
+        around = [" ".join(token() for _ in range(draw.randint(0, 60))) for _ in range(2)]
+        rows.append((k, f"{around[0]} {passages[k % 100] if k < 200 else ''} {around[1]}"))
+    found = {r.doc_id: r.text for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seen = set()
+    for k, text in rows:
+        assert not windows(found[k]) & seen
+        assert k in range(100, 200) or found[k] == text
+        seen |= windows(text)
+    kept = [len(found[k].split()) - len(rows[k][1].split()) + len(passages[k % 100].split()) for k in range(100, 200)]
+    assert sum(kept) < 0.25 * sum(len(p.split()) for p in passages)
+
+
+def test_whole_long_parts_and_unspaced_texts():
+    sentence = " ".join(f"s{k}" for k in range(33)) + ". "
+    one, other = substring.runs(f"A b. {sentence}C d e."), substring.runs(f"F g h. {sentence}I j k l.")
+    same, text = {h for h, _, _ in one} & {h for h, _, _ in other}, f"F g h. {sentence}I j k l."
+    assert substring.remove(text, {i for h, i, _ in other if h in same})[0] == "F g h. I j k l."
+    draw = random.Random(32)
+    glyphs = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = "\u3002".join(glyphs(12) for _ in range(5))
+    found = [substring.runs(glyphs(30) + passage + glyphs(30)) for _ in range(2)]
+    assert len({h for h, _, _ in found[0]} & {h for h, _, _ in found[1]}) >= 2
+
+
+def test_a_closing_run_takes_only_its_own_parts():
+    text = " ".join(f"a{k}" for k in range(10)) + ". " + " ".join(f"b{k}" for k in range(10)) + ". C d e."
+    assert substring.remove(text, {0})[0] == "C d e." and len({i for _, i, _ in substring.runs(text)}) == len(substring.runs(text))
+
+
 def test_parts_and_runs():
     for text in ("", "a", "One two.\n\nThree; four", " x. y "):
         assert "".join(text[a:b] for a, b in substring.parts(text)) == text
