@@ -217,13 +217,19 @@ def _(t: DataFrame) -> DataFrame:
     return found.join(exact, "doc_id", "full").agg(F.count("c").alias("candidates"), F.count("m").alias("matches"), F.count_if(F.col("c").isNull()).alias("missed"))
 
 
+#: Words with the needle that a minimum cut is computed over; beyond, every row is tested.
+CUT_WORDS = 4096
+
+
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A minimum cut over the distinct words of p_name (a bounded dictionary), then rows that hold one of its tokens."""
+    """A minimum cut over the distinct words of p_name that hold the needle, then rows that hold one of its tokens."""
     rows = _table(spark, sf_dir, "part")
-    words = physical.token_index(rows, "p_partkey", "p_name").groupBy("token").agg(F.sum("n").alias("n"))
-    needle = "alm"
-    overlap = reduce(Column.__or__, [F.contains(F.col("token"), F.lit(needle))] + [F.endswith(F.col("token"), F.lit(needle[:k])) | F.startswith(F.col("token"), F.lit(needle[k:])) for k in range(1, len(needle))])
-    chosen = cover.cover(needle, {r["token"]: r["n"] for r in words.where(overlap).limit(4096).collect() if needle in r["token"]})
+    needle = "alm"  # without a space, so that every match lies within a word
+    words = physical.token_index(rows, "p_partkey", "p_name").where(F.contains(F.col("token"), F.lit(needle))).groupBy("token").agg(F.sum("n").alias("n"))
+    found = {r["token"]: r["n"] for r in words.limit(CUT_WORDS + 1).collect()}
+    if len(found) > CUT_WORDS:
+        return physical.direct(rows, "p_name", query("contains", needle)).select("p_partkey")
+    chosen = cover.cover(needle, found)
     return rows.where(F.arrays_overlap(F.split("p_name", " "), F.lit(sorted(chosen)) if chosen else F.array().cast("array<string>"))).select("p_partkey")
 
 

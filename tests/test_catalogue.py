@@ -47,3 +47,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_minimum_cut_loses_no_rows(spark, tmp_path, monkeypatch, most):
+    """Thousands of other words that end in "a" crowd out none with the needle, nor does a bound on these."""
+    monkeypatch.setattr(catalogue, "CUT_WORDS", most, raising=False)
+    rows = [(k, f"w{k}a b{k}al") for k in range(6000)] + [(10_000 + k, f"x{k}alm y") for k in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = sorted(r[0] for r in catalogue.QUERIES["cover_min_cut"](spark, str(tmp_path)).collect())
+    assert found == [10_000 + k for k in range(200)]
