@@ -113,7 +113,7 @@ def dedupe(queries: DataFrame) -> DataFrame:
 
 
 def generate(rows: DataFrame, id_column: str, column: str, quick: bool = True, draws: int = 32, seed: int = 42) -> DataFrame:
-    """Accepted single-needle queries ``op, length, band, needle, match_count, selectivity``, best ``replicates`` of each point."""
+    """All accepted single-needle queries ``op, length, band, needle, match_count, selectivity``; replicates are not chosen."""
     out = None
     for op, length in sorted({(p.op, p.length) for p in grid(quick) if p.op in ("prefix", "suffix", "contains")}):
         drawn = [r[0] for r in sample_needles(rows, id_column, column, op, length, draws, seed).collect()]  # at most `draws`
