@@ -1,4 +1,4 @@
-"""Shared plumbing: scratch tables, batch sizes and connected components."""
+"""Shared plumbing: scratch tables, slices of batches, free column names and connected components."""
 
 from __future__ import annotations
 
@@ -6,18 +6,22 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, where all is one machine, may leave it unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gramward-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,17 +38,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table made by ``materialise`` that no plan needs any more."""
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        name = folder.rsplit("/", 1)[-1]
-        for path in [p for p in _SCRATCH if p.rsplit("/", 1)[-1] == name]:
-            _delete(path)
-            _SCRATCH.remove(path)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no plan needs any more."""
+    for path in [t._scratch for t in tables]:
+        _delete(path)
+        _SCRATCH.remove(path)
 
 
 def _delete(path: str) -> None:
@@ -62,18 +65,31 @@ def _clean() -> None:
             _delete(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
-    """Bound what Python workers hold at once, whatever the length of a text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a worker makes of one stays small. Spark bounds a batch itself by its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores in front until they clash with no column, in any case, nor with each other."""
+    used, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
 
 
-def salt_of(key: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The columns under plain names, since a name with a dot cannot be given to Python workers."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -81,8 +97,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds, so each round costs a fixed number of
     shuffles and the number of rounds grows with the logarithm of the longest path. Roots
-    themselves are rows too. Every round is a written table in the shared folder; nothing but
-    a row count and a checksum reaches the driver.
+    themselves are rows too. The least neighbours are written tables, so that both sides of a join with them are plain
+    exchanges and Spark splits the partition of a hub. Nothing but a row count and a checksum reaches the driver.
     """
     now = materialise(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -90,16 +106,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = _mark(now)
     for _ in range(max_rounds):
+        if not mark[0]:
+            break
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(
             now.select(F.col("v").alias("x"), F.col("u").alias("y"))
         )
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large = materialise(both.join(least, "x").where("y > x and y != m").select(F.col("y").alias("u"), F.col("m").alias("v")), "large")
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = materialise(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         changed = _mark(following)
-        drop_scratch(now)
+        drop_scratch(now, least, large, lowest)
         now = following
         if changed == mark:
             break
@@ -114,3 +132,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
+

@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import components, materialise, small_batches
+from gramward.llm.common import components, free_names, materialise, slices
 
 SEED = 42
 BITS = 64
-#: Largest bucket whose members are compared in pairs; larger ones go by midpoints (see ``_hot_links``).
-PAIRWISE_BUCKET = 256
+#: Buckets beyond this are cut again by a longer chain.
+HOT_BUCKET = 2048
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,11 +60,10 @@ def fold(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp long)`` of each row; fp is the fingerprint as a signed 64-bit number."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fold(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "fp"]
@@ -84,60 +83,68 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _differ(a: str, b: str, mask: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(_signed(mask)).cast("long")))
+class Ring:
+    """Chains of segments: from each start, their masks and the bits that may differ in the first one, two, ... of them."""
+
+    def __init__(self, max_bits: int, segments: int):
+        masks = _segments(segments)
+        self.budget = [length * max_bits // segments for length in range(1, segments + 1)]
+        equal = sum(1 for x in self.budget if x == 0)
+        if equal == 0:
+            raise ValueError("too few segments: no chain of the ring must be equal")
+        starts = [[masks[(i + k) % segments] for k in range(segments)] for i in range(segments)]
+        self.chains = np.array([[sum(s[: k + 1]) for k in range(segments)] for s in starts], np.uint64)
+        self.keyed = [sum(s[:equal]) for s in starts]
+        once = sum(1 for x in self.budget if x == 1)
+        #: Keys of a chain one longer: of two segments or more with one differing bit at most, all but one are equal, so one of any two is.
+        self.further = [[sum(s[:equal]) + s[equal + k] for k in range(2)] for s in starts] if once >= 2 else []
+
+    def holds(self, start: np.ndarray, differing: np.ndarray) -> np.ndarray:
+        """True where the chain from ``start`` keeps within every budget; the last of them is the check of all bits."""
+        found = np.ones(len(differing), bool)
+        for k, most in enumerate(self.budget):
+            found[found] = np.bitwise_count(differing[found] & self.chains[start[found], k]) <= most
+        return found
+
+
+class Chained:
+    """Rows of (ring start, fingerprint); alike are those whose chain from there holds."""
+
+    def __init__(self, lanes: np.ndarray, ring: Ring):
+        self.start, self.fp, self.ring = lanes[:, 0].astype(np.int64), lanes[:, 1], ring
+
+    def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return self.ring.holds(self.start[a], self.fp[a] ^ self.fp[b])
 
 
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 5) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the distinct ``fp`` values within ``max_bits`` of another.
 
-    All such pairs of ordinary buckets come out; of buckets beyond ``PAIRWISE_BUCKET`` only
-    enough of them to give the same components.
+    Rows meet by the segments that their ring's chain must have equal. A bucket beyond ``HOT_BUCKET`` is cut by the next
+    chain: where its next segments hold one differing bit together, any two of them have one that is equal, and so on
+    with the key of one segment more. What meets is held against the whole chain, then all 64 bits, in blocks that give a forest.
     """
-    masks = _segments(segments)
-    budget = [length * max_bits // segments for length in range(1, segments + 1)]
-    equal = sum(1 for x in budget if x == 0)
-    if equal == 0:
-        raise ValueError("too few segments: no chain of the ring must be equal")
-    rings = [[masks[(i + k) % segments] for k in range(segments)] for i in range(segments)]
-    keyed = [sum(ring[:equal]) for ring in rings]
+    ring = Ring(max_bits, segments)
     keys = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key"))
-        for i, m in enumerate(keyed)
+        F.struct(F.lit(i).alias("ring"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("part"), F.lit(_signed(m)).cast("long").alias("mask"))
+        for i, m in enumerate(ring.keyed)
     ])
-    rows = fps.select("fp").distinct().select("fp", F.explode(keys).alias("s")).select("s.i", "s.key", "fp")
+    rows = fps.select("fp").distinct().select("fp", F.explode(keys).alias("s")).select("s.ring", "s.part", "s.mask", "fp")
     rows = materialise(rows, "segments")
-    sizes = rows.groupBy("i", "key").count().where("count > 1")
-    rows = rows.join(sizes, ["i", "key"])
-    few, many = rows.where(F.col("count") <= PAIRWISE_BUCKET), rows.where(F.col("count") > PAIRWISE_BUCKET)
-    chain = F.lit(False)
-    for i, ring in enumerate(rings):
-        holds = F.col("i") == i
-        for length in range(equal + 1, segments):
-            holds &= _differ("a", "b", sum(ring[:length])) <= budget[length - 1]
-        chain |= holds
-    pairs = few.select("i", "key", F.col("fp").alias("a")).join(few.select("i", "key", F.col("fp").alias("b")), ["i", "key"])
-    pairs = pairs.where((F.col("a") < F.col("b")) & chain & (_differ("a", "b", (1 << 64) - 1) <= max_bits))
-    return pairs.select("a", "b").union(_hot_links(many, keyed, max_bits)).distinct()
-
-
-def _hot_links(many: DataFrame, keyed: list[int], max_bits: int) -> DataFrame:
-    """Links of large buckets without pairs, for at most 2 bits.
-
-    Two fingerprints are within 2 bits just if some point is within 1 bit of both, so members
-    meet at points. A point has at most one member for each free bit and itself: groups are bounded.
-    """
-    if max_bits != 2:
-        raise ValueError("large buckets are linked for a distance of 2 only")
-    points = F.lit(None).cast("array<long>")
-    for i, mask in enumerate(keyed):
-        free = [F.lit(0).cast("long")] + [F.lit(_signed(1 << b)).cast("long") for b in range(BITS) if not mask >> b & 1]
-        points = F.when(F.col("i") == i, F.array(*free)).otherwise(points)
-    spread = many.select("i", "key", "fp", F.explode(points).alias("flip")).select(
-        "i", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")
-    )
-    met = spread.groupBy("i", "key", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b")
+    sizes = materialise(rows.groupBy("ring", "mask", "part").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
+    met = rows.join(sizes, ["ring", "mask", "part"])
+    if ring.further:
+        hot = met.where(F.col("rows") > HOT_BUCKET)
+        longer = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
+        for i, masks in enumerate(ring.further):
+            longer = longer.when(F.col("ring") == i, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
+        hot = hot.select("ring", F.explode(longer).alias("mask"), "fp").withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+        hot = materialise(hot, "longer-chains")
+        again = materialise(hot.groupBy("ring", "mask", "part").agg(F.count("*").alias("rows")).where("rows > 1"), "longer-buckets")
+        met = met.where(F.col("rows") <= HOT_BUCKET).unionByName(hot.join(again, ["ring", "mask", "part"]), allowMissingColumns=True)
+    met = met.withColumn("key", F.xxhash64("ring", "mask", "part")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+    met = met.select(F.col("fp").alias("node"), "key", "blocks", F.array(F.col("ring").cast("long"), "fp").alias("lanes"))
+    return bucket_links(met, None, ring).distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
@@ -151,12 +158,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
     """
     found = materialise(fingerprints(docs, width), "fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes, max_bits))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    heads = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(heads, "root").select("fp", "component_id")
+    roots = materialise(components(links(nodes, max_bits)), "roots")
+    placed = materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "placed")
+    heads = materialise(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "heads")
+    named = materialise(placed.join(heads, "root").select("fp", "component_id"), "named")
     return (
         found.join(named, "fp")  # rows of 16 bytes; AQE splits a fingerprint with many copies
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -164,9 +169,9 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
 
 
 #: For similar texts: classes of shingles, and shingles of a class that make its key.
-CLASSES, CLASS_SHINGLES = 16, 4
-#: Lanes of 64 bits of a long fingerprint, and the bits in which linked ones differ at most.
-LANES, SIMILAR_BITS = 12, 136
+CLASSES, CLASS_SHINGLES = 32, 4
+#: Words of 64 bits of a set's parities.
+LANES = 12
 #: Rows and shingles of a block of a bucket; buckets of up to SMALL_BUCKET rows are compared many at a time.
 BLOCK_ROWS, BLOCK_SHINGLES, SMALL_BUCKET = 2048, 1 << 20, 9
 
@@ -175,8 +180,8 @@ def sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
     """Of a text's distinct shingles: a hash of them all, their number, and a key for each class.
 
     A key is made of the least few shingle hashes of a class (the class is a hash's top bits),
-    so texts that share most shingles share a key in some class: at a similarity of 0.8, with
-    4 shingles and 16 classes, in 999 of 1000 cases.
+    so texts that share most shingles share a key in some class: at a cosine of 0.8, with
+    4 shingles and 32 classes, in 997 of 1000 cases at least.
     """
     own = np.unique(shingle_hashes(text, width))
     whole = xxhash.xxh3_64_intdigest(own.tobytes())
@@ -188,25 +193,11 @@ def sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
     return whole, len(own), keys
 
 
-def _apart(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(rows ^ other).sum(axis=-1, dtype=np.int64)
-
-
-class Bits:
-    """Rows of lanes; alike are those within ``SIMILAR_BITS``."""
-
-    def __init__(self, lanes: np.ndarray):
-        self.lanes = lanes
-
-    def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-        return _apart(self.lanes[a], self.lanes[b]) <= SIMILAR_BITS
-
-
 class Shingles:
-    """Sorted sets of shingles, none empty; alike are those with a Jaccard similarity of 0.8 or more, exactly.
+    """Sorted sets of shingles, none empty; alike are those with a cosine of 0.8 or more, exactly.
 
-    That is 9 * shared >= 4 * (sizes of both), or a symmetric difference of a ninth of the sizes. The difference is
-    never less than that of the sets' parities on a few bits, so most pairs need no more than these.
+    That is 25 * shared ** 2 >= 16 * (product of the sizes). The sets' symmetric difference is then bounded, and it is
+    never less than that of their parities on a few bits, so most pairs need no more than these.
     """
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray):
@@ -225,18 +216,19 @@ class Shingles:
         return self.values[self.starts[at] : self.stops[at]]
 
     def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-        total = self.sizes[a] + self.sizes[b]
-        found = _apart(self.parity[a], self.parity[b]) * 9 <= total
+        x, y = self.sizes[a], self.sizes[b]
+        apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(axis=-1, dtype=np.int64)
+        found = (apart <= x + y - 1.6 * np.sqrt(x * y) + 1e-6) & (25 * np.minimum(x, y) >= 16 * np.maximum(x, y))
         for k in np.flatnonzero(found):
             one, other = self._set(a[k]), self._set(b if np.ndim(b) == 0 else b[k])
             if len(one) > len(other):
                 one, other = other, one
-            shared = np.count_nonzero(other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one)
-            found[k] = 9 * shared >= 4 * total[k]
+            shared = int(np.count_nonzero(other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one))
+            found[k] = 25 * shared * shared >= 16 * len(one) * len(other)
         return found
 
 
-def forest(left: np.ndarray, right: np.ndarray, rows: Bits | Shingles) -> list[tuple[int, int]]:
+def forest(left: np.ndarray, right: np.ndarray, rows: Chained | Shingles) -> list[tuple[int, int]]:
     """Edges that connect what alike pairs of ``left`` x ``right`` connect.
 
     What is reached once is not compared again, so that a bucket of near copies costs a few passes.
@@ -260,7 +252,7 @@ def forest(left: np.ndarray, right: np.ndarray, rows: Bits | Shingles) -> list[t
     return edges
 
 
-def _group_links(ids: np.ndarray, rows: Bits | Shingles, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(ids: np.ndarray, rows: Chained | Shingles, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links in whole groups, given in order of ``group``; ``blocks`` holds i, j and the row's own block."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -290,46 +282,41 @@ def met_rows(spread: DataFrame) -> DataFrame:
     return spread.join(counts.where("rows > 1").select("key", blocks.cast("int").alias("blocks")), "key").select("node", "key", "blocks")
 
 
-def bucket_links(spread: DataFrame, sketches: DataFrame) -> DataFrame:
+def bucket_links(spread: DataFrame, sketches: DataFrame | None, ring: Ring | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes with a common key that are alike.
 
-    ``spread(node, key)``, or what ``met_rows`` makes of it; ``sketches(node, shingles)``, to be held against each
-    other exactly, or ``sketches(node, lanes)``, by bits. A bucket is dealt to blocks by hash, and each pair of blocks is
-    one bounded group, whatever the size of the bucket. Keys are counted first, so that only rows that meet another
-    take their sketches along.
+    ``spread(node, key)``, or what ``met_rows`` makes of it, with ``sketches(node, shingles)``, which are held against each
+    other exactly; or ``spread(node, key, blocks, lanes)``, where lanes are a start of ``ring`` and a fingerprint. A bucket is
+    dealt to blocks by hash, and each pair of blocks is one bounded group, whatever the size of the bucket. Keys are
+    counted first, so that only rows that meet another take their sketches along.
     """
-    carried = [c for c in sketches.columns if c != "node"]
-    met = (spread if "blocks" in spread.columns else met_rows(spread)).join(sketches, "node")
-    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    if sketches is not None:
+        spread = (spread if "blocks" in spread.columns else met_rows(spread)).join(sketches, "node")
+    carried = "lanes" if ring else "shingles"
+    met = spread.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *carried)
+    dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", carried)
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    small_batches(spread.sparkSession, 8192)
-    exact = carried == ["shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            x = np.concatenate([x for x, _ in parts])
-            rest = x[:, 5:]
-            rows = Shingles(np.concatenate([v for _, v in parts]).view(np.uint64), rest[:, 0]) if exact else Bits(rest.view(np.uint64))
+            x, values = np.concatenate([x for x, _ in parts]), np.concatenate([v for _, v in parts]).view(np.uint64)
+            rows = Chained(values.reshape(-1, 2), ring) if ring else Shingles(values, x[:, 5])
             group = np.cumsum(np.r_[False, (x[1:, :3] != x[:-1, :3]).any(axis=1)])
             a, b = _group_links(x[:, 4], rows, group, x[:, 1:4])
             keep = a != b
             return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            columns, values = batch.columns, np.empty(0, np.int64)
-            if exact:
-                values = columns[-1].flatten().to_numpy(zero_copy_only=False)
-                columns[-1] = columns[-1].value_lengths()
+        for batch in slices(batches, 8192):
+            columns = batch.columns
+            values = columns[-1].flatten().to_numpy(zero_copy_only=False)
+            columns[-1] = columns[-1].value_lengths()
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
-            if not len(x):
-                continue
             last = np.flatnonzero((x[:, :3] != x[-1, :3]).any(axis=1))
             if len(last) or (held and (held[-1][0][-1, :3] != x[-1, :3]).any()):
                 cut = int(last[-1]) + 1 if len(last) else 0
-                at = int(x[:cut, 5].sum()) if exact else 0
+                at = int(x[:cut, 5].sum())
                 yield linked([*held, (x[:cut], values[:at])])
                 held = []
                 x, values = x[cut:], values[at:]
@@ -341,13 +328,12 @@ def bucket_links(spread: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def shingle_sets(heads: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``node, shingles``: the sorted distinct shingle hashes of the rows ``heads(node, _id, _key)`` of ``docs``."""
-    small_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_own"), "text")
-    texts = keyed.join(heads, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    """``node, shingles``: the sorted distinct shingle hashes of the rows ``heads(node, id, row_key)`` of ``docs(doc_id, text)``."""
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
+    texts = keyed.join(heads, (F.col("own") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -355,23 +341,22 @@ def shingle_sets(heads: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, row_key, node, root, head``: groups of texts with a similarity of 0.8 or more on shingles.
+    """``doc_id, row_key, node, root, head``: groups of the texts of ``docs(doc_id, text)`` with a similarity of 0.8 or more on shingles.
 
-    At that similarity one bit of a SimHash fingerprint in seven differs, so that a pigeonring key would hold 6 bits and
-    choose nothing, and a limit on bits takes many a pair at 0.7 for one at 0.8. Candidates therefore share a class key
-    (see ``sketch``), and are linked by the overlap of their whole shingle sets. Every two texts of a bucket are held
-    against each other, in blocks that give a forest. Texts with equal shingles are one node; only
-    nodes that meet another get their sets, from the texts once more.
+    The similarity is the cosine of the sets of shingles, which is what SimHash estimates. At 0.8 one bit of a
+    fingerprint in five differs, so that a pigeonring key would hold under 5 bits and choose nothing, and a limit on bits takes many
+    a pair at 0.7 for one at 0.8. Candidates therefore share a class key (see ``sketch``), and are linked by their whole
+    shingle sets. Every two texts of a bucket are held against each other, in blocks that give a forest. Texts with equal
+    shingles are one node; only nodes that meet another get their sets, from the texts once more.
     ``head`` is true for the one row that stays: the least (doc_id, row_key), null ids last.
     """
-    small_batches(docs.sparkSession)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_key", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [sketch(t, width) for t in batch.column(2).to_pylist()]
             keys = pa.array([np.array(x, np.uint64).view(np.int64) for _, _, x in got], pa.list_(pa.int64()))
             whole = pa.array(np.array([x for x, _, _ in got], np.uint64).view(np.int64))
@@ -383,22 +368,22 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = found.groupBy("node").agg(F.min(order).alias("head"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
     met = materialise(met_rows(nodes.select("node", "size", F.explode("keys").alias("key"))), "met")
-    heads = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("head.doc_id").alias("_id"), F.col("head.row_key").alias("_key"))
+    heads = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("head.doc_id").alias("id"), F.col("head.row_key").alias("row_key"))
     edges = bucket_links(met, materialise(shingle_sets(heads, docs, width), "shingles"))
-    roots = components(edges).withColumnRenamed("node", "n")
+    roots = materialise(components(edges).withColumnRenamed("node", "n"), "roots")
     placed = materialise(nodes.join(roots, nodes.node == roots.n, "left").select("node", F.coalesce("root", "node").alias("root"), "head"), "placed")
-    heads = placed.groupBy("root").agg(F.min("head").alias("least"))
-    named = placed.join(heads, "root").select("node", "root", "least")
+    heads = materialise(placed.groupBy("root").agg(F.min("head").alias("least")), "heads")
+    named = materialise(placed.join(heads, "root").select("node", "root", "least"), "named")
     return found.join(named, "node").select("doc_id", "row_key", "node", "root", order.eqNullSafe(F.col("least")).alias("head"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of similar texts; columns as they are.
+    """The rows of ``docs`` less all but one of each group of similar texts; columns as they are, whatever their names.
 
-    Empty and null texts are one group. Rows of one doc_id and text count once.
+    Empty and null texts are one group. Rows of one doc_id and text count once. No rows in, no rows out.
     """
-    heads = similar_groups(docs.select("doc_id", "text"), width).where("head").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    keyed = docs.withColumn("_own", F.xxhash64("doc_id", "text"))
-    keyed = keyed.join(heads, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = keyed.groupBy("_own", "doc_id").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    own, key = free_names(docs.columns, "own", "key")
+    heads = similar_groups(docs.select("doc_id", "text"), width).where("head").select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    once = keyed.join(heads, F.col(own) == F.col(key), "left_semi").groupBy(own).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return once.select("row.*")
