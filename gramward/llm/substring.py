@@ -1,10 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentence parts (at sentence and clause marks and line ends), and a part of more than
-``LONG_PART`` words once more where its own words say so, so that a passage without marks is cut alike
-whatever stands around it. From each part starts one run: the fewest consecutive parts, two at least, with ``MIN_WORDS``
-words (a part of ``LONG_PART`` words is a run of its own). Runs are hashed and met globally; every run but the
-first is a repeat, and the parts it covers go.
+A text is cut into sentences. Every run of ``RUN`` consecutive sentences is hashed (a text of fewer, but two at least, is one
+run) and the runs meet globally; every run but the first is a repeat, and the sentences it covers go.
+
+A sentence ends at a line's end, or at a sentence mark followed by white space whose two words before end in none, so
+that initials, numbers and words with a mark each make no sentences of a word or two. A stretch of more than ``LONG`` words
+without such an end has no sentences: it is cut where its own words say so, so that copies are cut alike whatever stands around them.
 """
 
 from __future__ import annotations
@@ -19,19 +20,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import small_batches
+from gramward.llm.common import free_names, numbered_columns, slices
 
-MIN_WORDS, LONG_PART = 15, 20
-#: Of so many places in a row between the words of a long part, one at least is a cut.
+#: Sentences of a run; words beyond which a stretch is cut by content.
+RUN, LONG = 3, 30
+#: Of so many places in a row between the words of a long stretch, one at least is a cut.
 CUT_WINDOW = 8
-_CUT = re.compile(r"(?<=[.!?;:,])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61])\s*|\n\s*")
+#: Characters in which the words before a mark are looked for.
+LOOK_BACK = 200
+_MARKS, _WIDE_MARKS = ".!?", "\u3002\uff01\uff0e\uff1f\uff61"
 #: Scripts without spaces (Thai to Khmer, kana, ideographs): each character counts as a word.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_SPACED, _UNSPACED, _WORD = re.compile(r"\S+"), re.compile(f"[{_ALONE}]"), re.compile(f"[{_ALONE}]|[^\\s{_ALONE}]+")
+_UNSPACED = re.compile(f"[{_ALONE}]")
+_END, _WIDE_END, _WORD = re.compile(r"[.!?]\s+(?=\S)"), re.compile(f"[{_WIDE_MARKS}]\\s*(?=\\S)"), re.compile(r"\S+")
+_ANY_WORD = re.compile(f"[{_ALONE}][{_WIDE_MARKS}]*|[^\\s{_ALONE}]+")
 
 
 def _cuts(words: list[str]) -> list[int]:
-    """Words before which a long part is cut: where the hash of a word and the one before is least of ``CUT_WINDOW`` in a row.
+    """Words before which a long stretch is cut: where the hash of a word and the one before is least of ``CUT_WINDOW`` in a row.
 
     This depends on the words of the window only, so that copies are cut alike but for the window at each edge.
     """
@@ -49,78 +55,61 @@ def _cuts(words: list[str]) -> list[int]:
     return found
 
 
-def _pieces(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[int]]:
-    """(start, end) of each part, its words, and the numbers of the parts that end a long part."""
-    ends = [m.end() for m in _CUT.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    alone = not text.isascii() and _UNSPACED.search(text) is not None
-    spans, words, closed = [], [], []
-    for a, b in zip([0, *ends], ends, strict=False):
-        if b <= a:
-            continue
-        own = _WORD.findall(text, a, b) if alone else text[a:b].split()
-        if len(own) <= LONG_PART:
-            spans.append((a, b))
-            words.append(own)
-            continue
-        at = [m.start() for m in (_WORD if alone else _SPACED).finditer(text, a, b)]
-        cuts = [0, *_cuts(own), len(own)]
-        edges = [a, *(at[k] for k in cuts[1:-1]), b]
-        spans += zip(edges, edges[1:], strict=False)
-        words += [own[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-        closed.append(len(spans) - 1)
-    return spans, words, closed
+def _starts(line: str) -> list[int]:
+    """Where the sentences of a line of words between spaces begin. What is before a mark is read back ``LOOK_BACK`` characters at most."""
+    found = [len(line) - len(line.lstrip())]
+    for m in _END.finditer(line):
+        before = line[max(0, m.start() - LOOK_BACK) : m.start() + 1].split()
+        if len(before) >= 3 and before[-2][-1] not in _MARKS and before[-3][-1] not in _MARKS:
+            found.append(m.end())
+    return found
+
+
+def _pieces(text: str) -> tuple[list[int], list[str]]:
+    """Where each sentence begins, and its words joined by one space; the text before a start belongs to the sentence before."""
+    starts, plain = [], []
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+    word, at = _ANY_WORD if unspaced else _WORD, 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            own_starts = [*_starts(line), *(m.end() for m in _WIDE_END.finditer(line))] if unspaced else _starts(line)
+            if unspaced:
+                own_starts = sorted(set(own_starts))
+            for a, b in zip(own_starts, [*own_starts[1:], len(line)], strict=True):
+                own = word.findall(line, a, b) if unspaced else line[a:b].split()
+                if len(own) <= LONG:
+                    starts.append(at + a)
+                    plain.append(" ".join(own))
+                    continue
+                places = [m.start() for m in word.finditer(line, a, b)]
+                cuts = [0, *_cuts(own), len(own)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    starts.append(at + places[x])
+                    plain.append(" ".join(own[x:y]))
+        at += len(line) + 1
+    return starts, plain
 
 
 def parts(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each part, with the white space after it; together the whole text."""
-    return _pieces(text)[0]
+    """(start, end) of each sentence, with the white space around it; together the whole text."""
+    starts = _pieces(text)[0]
+    return list(zip([0, *starts[1:]], [*starts[1:], len(text)], strict=True)) if starts else []
 
 
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(hash as signed 64 bits, first part, last part) of each run, in order.
+def runs(text: str) -> list[int]:
+    """The hash, as signed 64 bits, of each run: that of sentences k to k + RUN - 1 is number k."""
+    return _runs(_pieces(text)[1])
 
-    The text's end closes one run more, as does the end of each long part, so that copies are covered up to their
-    last part. Such a run's first part k is given as ~k where another run begins at k.
-    """
-    return _runs(_pieces(text))
-
-
-def _runs(pieces: tuple[list[tuple[int, int]], list[list[str]], list[int]]) -> list[tuple[int, int, int]]:
-    _, words, closed = pieces
-    sizes = [len(w) for w in words]
-    plain = [" ".join(w) for w in words]
-    out, stop, total, count = [], 0, 0, len(words)
-    last: dict[int, int] = {}
-
-    def hashed(i: int, j: int) -> int:
-        x = xxhash.xxh3_64_intdigest(" ".join(plain[i:j]).encode("utf-8", "surrogatepass"))
-        return x - (1 << 64) if x >> 63 else x
-
-    for i in range(count):
-        if i >= stop:
-            stop, total = i, 0
-        if sizes[i] >= LONG_PART:
-            last[i] = i
-        else:
-            while stop < count and (total < MIN_WORDS or stop < i + 2):
-                total += sizes[stop]
-                stop += 1
-            if total < MIN_WORDS or stop < i + 2:
-                break
-            last[i] = stop - 1
-        total -= sizes[i] if stop > i else 0
-    out = [(hashed(i, j + 1), i, j) for i, j in last.items()]
-    ended = set(last.values())
-    for end in {*closed, count - 1} - ended if count > 1 else ():
-        i, total = end + 1, 0
-        while i and (total < MIN_WORDS or i > end - 1):
-            i -= 1
-            total += sizes[i]
-        if total >= MIN_WORDS:
-            out.append((hashed(i, end + 1), ~i if i in last else i, end))
-    return sorted(out, key=lambda x: (~x[1] if x[1] < 0 else x[1], x[2]))
+
+def _runs(plain: list[str]) -> list[int]:
+    size = RUN if len(plain) >= RUN else len(plain)
+    if size < 2:
+        return []
+    out = []
+    for k in range(len(plain) - size + 1):
+        x = xxhash.xxh3_64_intdigest("\n".join(plain[k : k + size]).encode("utf-8", "surrogatepass"))
+        out.append(x - (1 << 64) if x >> 63 else x)
+    return out
 
 
 def _row_key() -> list:
@@ -128,12 +117,11 @@ def _row_key() -> list:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, firsts``: the first parts of the runs of a row that occur before, in (doc_id, place) order.
+    """``doc_id, row_key, firsts``: the first sentences of the runs of a row that occur before, in (doc_id, place) order.
 
     Each batch combines its own rows first: of runs it holds several times only the first meets
     the others, so that a run in a third of all rows is a row for each batch.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("row_key", T.LongType()), T.StructField("hash", T.LongType()),
@@ -141,7 +129,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids, keys, texts = (c.to_pylist() for c in batch.columns)
             order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, keys[k]))
             seen: dict[int, tuple] = {}
@@ -150,7 +138,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 if (ids[k], keys[k]) in done:  # a repeated row
                     continue
                 done.add((ids[k], keys[k]))
-                for x, i, _ in runs(texts[k] or ""):
+                for i, x in enumerate(runs(texts[k] or "")):
                     rows.append(k)
                     hashes.append(x)
                     firsts.append(i)
@@ -165,7 +153,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = docs.select(*_row_key(), "text").mapInArrow(run, schema)
     # What is sure needs no meeting: it is spread by its row.
     met = Window.partitionBy("hash", F.when(F.col("sure"), F.xxhash64("row_key", "first"))).orderBy(
-        F.asc_nulls_last("doc_id"), "row_key", F.when(F.col("first") < 0, F.bitwise_not("first")).otherwise(F.col("first"))
+        F.asc_nulls_last("doc_id"), "row_key", "first"
     )
     other = (F.col("doc_id").eqNullSafe(F.col("head.doc_id"))) & (F.col("row_key") == F.col("head.row_key")) & (F.col("first") == F.col("head.first"))
     ranked = found.withColumn("head", F.first(F.struct("doc_id", "row_key", "first")).over(met))
@@ -173,15 +161,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove(text: str, firsts: set[int]) -> tuple[str, int, int]:
-    """The text without the parts of the runs that begin at ``firsts``; parts removed, and parts."""
-    pieces, gone = _pieces(text), set()
-    spans = pieces[0]
-    for _, i, j in _runs(pieces):
-        if i in firsts:
-            gone.update(range(~i if i < 0 else i, j + 1))
+    """The text without the sentences of the runs that begin at ``firsts``; sentences removed, and sentences."""
+    starts, plain = _pieces(text)
+    size, gone = min(RUN, len(plain)), set()
+    for k in firsts:
+        gone.update(range(k, k + size))
     if not gone:
-        return text, 0, len(spans)
-    return "".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in gone).rstrip(), len(gone), len(spans)
+        return text, 0, len(plain)
+    spans = zip([0, *starts[1:]], [*starts[1:], len(text)], strict=True)
+    return "".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in gone).rstrip(), len(gone), len(plain)
 
 
 def drop_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
@@ -189,21 +177,22 @@ def drop_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
 
     The first place of a span, by (doc_id, place in the text), stays; a null doc_id comes last.
     Rows of one doc_id and text are one document and are treated alike. A null text stays null, one that is all
-    repeats becomes empty; no row goes. Other columns pass. With ``counts`` two more columns,
-    n_removed and n_parts.
+    repeats becomes empty; no row goes; no rows in, no rows out. Texts are read whole. Other columns pass, whatever their
+    names. With ``counts`` two more columns, which replace any of those names: n_removed and n_parts, of sentences.
     """
     if counts:
         docs = docs.drop("n_removed", "n_parts")
-    found = repeats(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("firsts").alias("_firsts"))
-    keyed = docs.withColumn("_own", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(found, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_firsts")
+    own, key, gone_at = free_names(docs.columns, "own", "key", "firsts")
+    found = repeats(docs.select("doc_id", "text")).select(F.col("row_key").alias(key), F.col("firsts").alias(gone_at))
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    joined = keyed.join(found, F.col(own) == F.col(key), "left").drop(own, key)
     extra = [T.StructField("n_removed", T.LongType()), T.StructField("n_parts", T.LongType())] if counts else []
     schema = T.StructType([*docs.schema.fields, *extra])
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, gone, total = batch.column(at).to_pylist(), [], []
             for k, firsts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if texts[k] is not None and firsts:
@@ -220,4 +209,4 @@ def drop_repeats(docs: DataFrame, counts: bool = False) -> DataFrame:
                 columns += [pa.array(gone, pa.int64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return numbered_columns(joined).mapInArrow(run, schema)
