@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.bpe import json_codec, packed
-from gramward.llm.common import small_batches
+from gramward.llm.bpe import json_codec, packed, stitched
+from gramward.llm.common import slices
 
 END_OF_DOCUMENT = 0
 #: Sequences of one partition: ids of sequences are partition * this + a running number.
 SEQUENCES_PER_TASK = 1 << 32
+#: Characters encoded at once.
+LONG_CHARS = 1 << 18
 
 
 class OpenWindows:
@@ -56,35 +61,43 @@ class OpenWindows:
             node >>= 1
 
 
-def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[tuple[int, int]], int]:
-    """(window, offset) of each piece, and the number of windows. Longest first, ties in the given order."""
-    placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+def best_fit_decreasing(lengths: np.ndarray | list[int], size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Window and offset of each piece, and the number of windows. Longest first, ties in the given order."""
+    lengths = np.asarray(lengths, np.int64)
+    window, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     windows, tree = 0, OpenWindows(size)
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        found = tree.take(lengths[k])
+    for k in np.argsort(-lengths, kind="stable").tolist():
+        need = int(lengths[k])
+        found = tree.take(need)
         if found is None:
-            room, (window, used) = size, (windows, 0)
+            room, (at, used) = size, (windows, 0)
             windows += 1
         else:
-            room, (window, used) = found
-        placed[k] = window, used
-        tree.add(room - lengths[k], (window, used + lengths[k]))
-    return placed, windows
+            room, (at, used) = found
+        window[k], offset[k] = at, used
+        tree.add(room - need, (at, used + need))
+    return window, offset, windows
 
 
 class DocumentEncoder:
     """Texts to ids as little-endian 32-bit bytes, equal to the tokenizer library's without added special tokens."""
 
     def __init__(self, path: str, pattern: str):
-        self.codec = json_codec(path, pattern)
+        self.codec, self.pattern = json_codec(path, pattern), regex.compile(pattern)
         added = sorted(self.codec.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
     def __call__(self, text: str) -> bytes:
         added = self.codec.added
         if any(x in text for x in added):
-            return b"".join(packed([added[x]] if x in added else self.codec.encode(x)) for x in self.cut.split(text))
-        return packed(self.codec.encode(text))
+            return b"".join(packed([added[x]]) if x in added else self._plain(x) for x in self.cut.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """Piece by piece, so that a very long text is never a list of all its ids."""
+        if len(text) <= LONG_CHARS:
+            return packed(self.codec.encode(text))
+        return b"".join(packed(self.codec.encode(x)) for x in stitched(self.pattern, text, LONG_CHARS))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -97,7 +110,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, size: int
     and with ``with_ids`` the piece's ids. Repeated rows are packed each; a null doc_id is kept;
     other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     fields = [("doc_id", docs.schema["doc_id"].dataType)]
     fields += [(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     fields += [("ids", T.BinaryType())] * with_ids
@@ -107,33 +119,42 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, size: int
         encode = DocumentEncoder(tokenizer_path, pattern)
         base = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         end = packed([END_OF_DOCUMENT])
-        full, tails, window = 0, [], 4 * size
+        full, window = 0, 4 * size
+        # What is left over of each document: compact columns, as the partition's tails are packed together.
+        docs_of, numbers, kept_ids = [], array("q"), []
 
-        def out(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            kinds = [kind, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+        def out(ids: pa.Array, columns: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch:
+            arrays = [ids, *(pa.array(c) for c in columns), *[pa.array(pieces, pa.binary())] * with_ids]
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        kind = pa.int64()
-        for batch in batches:
-            kind, rows = batch.schema.field(0).type, []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in slices(batches, 512):
+            place, rows, tails, pieces = [], array("q"), [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 raw = encode(text or "") + end
                 total = len(raw) // 4
                 for at in range(0, len(raw), window):
                     piece = raw[at : at + window]
-                    row = (doc, at // 4, len(piece) // 4, zlib.crc32(piece), total)
-                    more = (piece,) * with_ids
                     if len(piece) == window:
-                        rows.append((*row, base + full, 0, *more))
+                        place.append(k)
+                        rows.extend((at // 4, size, zlib.crc32(piece), total, base + full, 0))
                         full += 1
+                        if with_ids:
+                            pieces.append(piece)
                     else:
-                        tails.append((row, more))
-            if rows:
-                yield out(rows, kind)
-        placed, _ = best_fit_decreasing([row[2] for row, _ in tails], size)
-        for at in range(0, len(tails), 8192):
-            yield out([(*row, base + full + w, o, *more) for (row, more), (w, o) in zip(tails[at : at + 8192], placed[at : at + 8192], strict=True)], kind)
+                        tails.append(k)
+                        numbers.extend((at // 4, len(piece) // 4, zlib.crc32(piece), total))
+                        if with_ids:
+                            kept_ids.append(piece)
+            docs_of.append(batch.column(0).take(pa.array(tails, pa.int64())))
+            if place:
+                yield out(batch.column(0).take(pa.array(place, pa.int64())), np.array(rows).reshape(-1, 6).T.copy(), pieces)
+        if numbers:
+            rows, whole = np.array(numbers).reshape(-1, 4), pa.chunked_array(docs_of).combine_chunks()
+            windows, offsets, _ = best_fit_decreasing(rows[:, 1], size)
+            for at in range(0, len(rows), 8192):
+                part = slice(at, at + 8192)
+                columns = np.column_stack([rows[part], base + full + windows[part], offsets[part]]).T.copy()
+                yield out(whole.slice(at, 8192), columns, kept_ids[part])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
