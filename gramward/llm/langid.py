@@ -13,15 +13,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import small_batches
+from gramward.llm.common import numbered_columns, slices
 
 UNDETERMINED = "und"
-#: Bounds of the fitted model: rows sampled for each language, and entries kept for each language and table.
-SAMPLE_ROWS, WORDS_KEPT, GRAMS_KEPT = 1000, 30_000, 10_000
+#: The bound of the fitted model: about so many labelled rows of each language are learned from.
+SAMPLE_ROWS = 1000
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Evidence counts as that of at most so many words, so that the score is not 1 for every long text.
 EVIDENCE = 16
@@ -63,16 +63,14 @@ def _cut(word: Column) -> Column:
 
 
 def _tables(counts: DataFrame, langs: list[str]) -> dict[int, dict[str, np.ndarray]]:
-    """Of each kind the most frequent entries of each language, with smoothed log frequencies in all."""
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")))
-    kept = F.when(F.col("kind") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT)
-    chosen = ranked.where(F.col("rank") <= kept).select("kind", "item").distinct()
-    rows = counts.join(chosen, ["kind", "item"]).groupBy("kind", "item").pivot("lang", langs).agg(F.sum("n")).fillna(0)
-    frame = rows.toPandas()
+    """Of each kind every entry, with smoothed log frequencies in all languages. What comes is bounded by the sample."""
+    frame = counts.toPandas()
     found: dict[int, dict[str, np.ndarray]] = {}
     for kind, part in frame.groupby("kind"):
-        table = part[langs].to_numpy(float) + 0.5
-        found[int(kind)] = dict(zip(part["item"], np.log(table / table.sum(0)), strict=True))
+        items, row = np.unique(part["item"].to_numpy(object), return_inverse=True)
+        table = np.full((len(items), len(langs)), 0.5)
+        table[row, np.searchsorted(langs, part["lang"].to_numpy(str))] += part["n"].to_numpy(float)
+        found[int(kind)] = dict(zip(items, np.log(table / table.sum(0)), strict=True))
     return found
 
 
@@ -80,7 +78,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out.
 
     The sample is bounded: of each language about ``sample_rows`` rows, by a hash of doc_id,
-    whatever the table's size. The tables are bounded too, so the model may go to every task.
+    whatever the table's size. All their words and n-grams are kept, so the model is bounded by the sample and may go to every task.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -182,9 +180,9 @@ def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred",
     """``docs`` with two columns more, which replace any of those names: the language and its posterior.
 
     A null text and one without letters are ``und`` with score 0; ties go to the first language
-    in alphabetical order. Rows and their order within a partition stay; nothing is shuffled.
+    in alphabetical order, as they do with a model that knows no language (then ``und``). Whole texts are read. Rows and
+    their order within a partition stay, repeated ones too; no rows in, no rows out; nothing is shuffled.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,15 +190,19 @@ def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.predict(t) for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered_columns(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of each row. Inputs of a prediction: the text alone."""
+    """``doc_id, held_out, lang_pred, score`` of each row. Inputs of a prediction: the text alone.
+
+    A null doc_id keeps its row and is not learned from; a table without a label gives ``und`` for all, an empty one no rows;
+    other columns are ignored.
+    """
     named = label(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
