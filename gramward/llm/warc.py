@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-The reader takes gzip members (or plain records) one by one. Where one fails its checks, it
+The reader takes gzip members (or plain records) one by one from a file it reads forward. Where one fails its checks, it
 searches for the next place where a valid member or version line begins, goes on there, and logs
-the bytes between as a gap.
+the bytes between as a gap. A large archive is read by several tasks, each from its own place on.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import materialise, scratch_path, small_batches
+from gramward.llm.common import materialise, scratch_path, slices
 
 #: Payloads below this many bytes are never deduplicated; an archive is closed beyond so many bytes.
 REVISIT_BYTES, ARCHIVE_BYTES = 100, 8 << 20
@@ -32,8 +32,8 @@ _GZIP = b"\x1f\x8b\x08"
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
 #: Headers without which there is no record.
 MANDATORY = ("warc-record-id", "warc-type", "warc-date")
-#: A record larger than this is no record: the length in a damaged header.
-MOST_BYTES = 1 << 31
+#: Bytes of an archive that one task reads, and that are asked of the file at once.
+RANGE_BYTES, READ_BYTES = 64 << 20, 1 << 18
 
 
 def _clean(value: str) -> str:
@@ -75,92 +75,170 @@ class Gap:
     reason: str
 
 
-def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
+class Source:
+    """A file of random access (``size()``, ``read_at(count, at)``) that is read forward in blocks, of which two are held."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+        self.held: dict[int, bytes] = {}
+        self.next: dict[bytes, int] = {}
+
+    def block(self, number: int) -> bytes:
+        if number not in self.held:
+            if len(self.held) > 1:
+                self.held.pop(min(self.held, key=lambda k: -abs(k - number)))
+            at = number * READ_BYTES
+            self.held[number] = bytes(self.file.read_at(min(READ_BYTES, self.size - at), at))
+        return self.held[number]
+
+    def read(self, at: int, count: int) -> bytes:
+        stop = min(at + count, self.size)
+        parts = []
+        while at < stop:
+            number, start = divmod(at, READ_BYTES)
+            part = self.block(number)[start : start + stop - at]
+            parts.append(part)
+            at += len(part)
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def find(self, what: bytes, at: int) -> int:
+        """The first place of ``what`` from ``at`` on, the size if there is none. What was found ahead is not searched again."""
+        known = self.next.get(what, -1)
+        if known >= at:
+            return known
+        found = self.size
+        while at < self.size:
+            part = self.read(at, READ_BYTES)
+            place = part.find(what)
+            if place >= 0:
+                found = at + place
+                break
+            at += max(1, len(part) - len(what) + 1) if at + len(part) < self.size else len(part)
+        self.next[what] = found
+        return found
+
+
+class Buffer:
+    """Bytes in memory as a file."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def size(self) -> int:
+        return len(self.data)
+
+    def read_at(self, count: int, at: int) -> bytes:
+        return self.data[at : at + count]
+
+
+def _header(source: Source, at: int) -> tuple[dict[str, str], int]:
+    """Headers by lower-case name, and where the block begins. It ends at the first line that is none, so damage is not read far."""
+    headers, text, stop, first, seen, count = {}, b"", at, True, 0, 4096
+    while True:
+        end = text.find(b"\r\n", seen)
+        if end < 0:
+            more = source.read(stop, count)
+            if not more:
+                raise ValueError("header does not end")
+            seen, text, stop, count = max(0, len(text) - 1), text + more, stop + len(more), 2 * count
+            continue
+        seen = 0
+        line, text = text[:end], text[end + 2 :]
+        if first:
+            if not _VERSION_LINE.fullmatch(line + b"\r\n"):
+                raise ValueError("no version line")
+            first = False
+        elif not line:
+            return headers, stop - len(text)
+        else:
+            name, colon, value = line.decode("utf-8", "surrogatepass").partition(":")
+            if not colon:
+                raise ValueError("malformed header")
+            headers[name.strip().lower()] = value.strip()
+
+
+def parse(source: Source, at: int = 0) -> tuple[Record, int]:
     """The plain record at ``at`` and where it ends; ValueError where a check fails."""
-    version = _VERSION_LINE.match(data, at)
-    if not version:
+    if not _VERSION_LINE.match(source.read(at, 10)):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise ValueError("header does not end")
-    headers = {}
-    for line in data[version.end() : stop].decode("utf-8", "surrogatepass").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError("malformed header")
-        headers[name.strip().lower()] = value.strip()
+    headers, begin = _header(source, at)
     if any(name not in headers for name in MANDATORY):
         raise ValueError("mandatory header missing")
     size = headers.get("content-length", "")
-    if not size.isdecimal() or int(size) > MOST_BYTES:
+    if not (size.isascii() and size.isdecimal()):
         raise ValueError("no content length")
-    begin, end = stop + 4, stop + 4 + int(size)
-    if data[end : end + 4] != b"\r\n\r\n":
+    end = begin + int(size)
+    if end + 4 > source.size or source.read(end, 4) != b"\r\n\r\n":
         raise ValueError("record does not end where its length says")
-    block = data[begin:end]
+    block = source.read(begin, end - begin)
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
         raise ValueError("block digest differs")
     return Record(at, end + 4 - at, headers, block), end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[Record, int]:
-    """The record of the gzip member at ``at``, checked by its CRC, and where the member ends."""
-    unpack = zlib.decompressobj(31)
-    try:
-        plain = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as why:
-        raise ValueError(f"gzip: {why}") from None
-    if not unpack.eof:
-        raise ValueError("gzip member does not end")
-    end = len(data) - len(unpack.unused_data)
-    found, stop = parse(plain)
-    if stop != len(plain):
+def _member(source: Source, at: int) -> tuple[Record, int]:
+    """The record of the gzip member at ``at``, checked by its CRC, and where the member ends. Only a slice is given to zlib at a time."""
+    unpack, plain, stop = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        some = source.read(stop, 1 << 14)
+        if not some:
+            raise ValueError("gzip member does not end")
+        try:
+            plain.append(unpack.decompress(some))
+        except zlib.error as why:
+            raise ValueError(f"gzip: {why}") from None
+        stop += len(some)
+    end = stop - len(unpack.unused_data)
+    whole = Source(Buffer(b"".join(plain)))
+    found, stop = parse(whole)
+    if stop != whole.size:
         raise ValueError("more than a record in a member")
     return Record(at, end - at, found.headers, found.block), end
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Every valid record of an archive in order, and the gaps between; together they cover all bytes."""
-    at = gap = 0
+def salvage(data: bytes | Source, first: int = 0, last: int | None = None) -> Iterator[Record | Gap]:
+    """Every valid record of an archive in order, and the gaps between; together they cover all bytes.
+
+    With ``first`` and ``last`` only records that begin there, as read from ``first`` on; a gap before the first of them is told too.
+    """
+    source = data if isinstance(data, Source) else Source(Buffer(data))
+    at = gap = first
+    last = source.size if last is None else last
     reason = ""
-    while at < len(data):
-        read = _member if data.startswith(_GZIP, at) else parse
+    while at < last:
+        read = _member if source.read(at, 3) == _GZIP else parse
         try:
-            found, end = read(data, at)
+            found, end = read(source, at)
         except (ValueError, UnicodeDecodeError) as why:
             reason = reason or str(why)
-            places = [p for p in (data.find(_GZIP, at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+            at = min(source.find(_GZIP, at + 1), source.find(b"WARC/", at + 1))
             continue
         if gap < at:
             yield Gap(gap, at - gap, reason)
         yield found
         at = gap = end
         reason = ""
-    if gap < len(data):
-        yield Gap(gap, len(data) - gap, reason)
+    at = min(at, source.size)
+    if gap < min(last, at):
+        yield Gap(gap, min(last, at) - gap, reason)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` with payload, payload_digest and refers_to.
 
     Equal payloads of at least 100 bytes refer to their smallest page_id; rows of that page_id
-    itself, rows with a null one, and smaller payloads refer to none. Only digests that occur twice
-    meet the pages, each in as many copies as the pages are salted by, so a page that a third
-    of the table copies is dealt over many tasks.
+    itself, rows with a null one, and smaller payloads refer to none. Only digests that occur twice meet the pages: a written
+    table, which is broadcast while it is small; beyond that each payload is shuffled once, and Spark splits the
+    partition of a page that a third of the table copies.
     """
-    salts = 16
     full = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     full = full.withColumn("payload_digest", F.sha2("payload", 256))
     large = full.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     twice = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    twice = materialise(twice.select(F.col("payload_digest").alias("_digest"), "first"), "digests")
-    twice = twice.select("_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_twice"))
-    salted = full.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = salted.join(twice, (F.col("payload_digest") == F.col("_digest")) & (F.col("_salt") == F.col("_twice")), "left")
+    twice = materialise(twice.select("payload_digest", "first"), "digests")
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_digest", refers.cast("long").alias("refers_to"))
+    return full.join(twice, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.cast("long").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 6) -> DataFrame:
@@ -170,11 +248,11 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     The manifest lists those of the attempts that count; what a lost one left is not in it (see
     ``read_back``). ``folder`` is a URI of any file system that pyarrow knows.
     """
-    small_batches(pages.sparkSession, 256, "8m")
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        scheme = folder.rstrip("/").removesuffix(root.rstrip("/"))
         store.create_dir(root, recursive=True)
         task, number, held, count, out = TaskContext.get(), 0, io.BytesIO(), 0, []
 
@@ -185,10 +263,10 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
             name = f"{root}/part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.warc.gz"
             with store.open_output_stream(name, compression=None) as file:
                 file.write(held.getvalue())
-            out.append((name, count, held.tell()))
+            out.append((f"{scheme}{name}", count, held.tell()))
             number, held, count = number + 1, io.BytesIO(), 0
 
-        for batch in batches:
+        for batch in slices(batches, 64):
             for row in batch.to_pylist():
                 plain = record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["refers_to"])
                 pack = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -204,69 +282,143 @@ def write_warc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
     return pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, schema)
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records and gaps of all archives in ``folder``.
+KINDS = {
+    "archive": "string", "byte_offset": "long", "byte_length": "long", "gap": "string", "page_id": "long", "url": "string",
+    "record_type": "string", "refers_to": "long", "payload": "binary", "payload_bytes": "long", "payload_digest": "string",
+}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _page(value: str) -> int | None:
+    found = _PAGE.fullmatch(value)
+    return int(found[1]) if found else None
+
+
+def _row(path: str, found: Record | Gap, payloads: bool) -> dict:
+    base = dict.fromkeys(KINDS) | {"archive": path, "byte_offset": found.offset, "byte_length": found.length}
+    if isinstance(found, Gap):
+        return base | {"gap": found.reason}
+    head, _, payload = found.block.partition(b"\r\n\r\n")
+    digest = found.headers.get("warc-payload-digest", "").partition(":")[2]
+    kind = found.headers.get("warc-type", "")
+    length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+        return base | {"gap": "payload digest differs"}
+    return base | {
+        "page_id": _page(found.headers.get("warc-record-id", "")), "url": found.headers.get("warc-target-uri"), "record_type": kind,
+        "refers_to": _page(found.headers.get("warc-refers-to", "")), "payload": payload if kind == "response" and payloads else None,
+        "payload_bytes": len(payload) if kind == "response" else int(length[1]) if length else None, "payload_digest": digest,
+    }
 
-    Columns: archive, byte_offset, byte_length, gap (null for a record, else why), page_id, url,
-    record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest. A response
-    whose payload differs from its digest is a gap.
+
+def _open(path: str) -> Source:
+    store, root = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+    return Source(_At(store.open_input_file(root)))
+
+
+class _At:
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def size(self) -> int:
+        return self.file.size()
+
+    def read_at(self, count: int, at: int) -> bytes:
+        return self.file.read_at(count, at)
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of few bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["payload"] or b"")
+        if len(held) == 256 or size > 8 << 20:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Records and gaps of ``archives(archive, bytes)``, see ``read_warc``.
+
+    An archive of up to ``RANGE_BYTES`` is read by one task, record by record. A larger one is read by ranges: each task
+    looks for the first valid record of its range and reads those that begin in it, to their end. Then, archive by
+    archive, the offsets of all ranges (not the payloads) are put in order: a record that begins within an earlier one
+    was found inside its payload and goes, and what no record covers is a gap.
     """
-    small_batches(spark, 4, "64m")
-    kinds = {
-        "archive": "string", "byte_offset": "long", "byte_length": "long", "gap": "string", "page_id": "long", "url": "string",
-        "record_type": "string", "refers_to": "long", "payload": "binary", "payload_bytes": "long", "payload_digest": "string",
-    }
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(folder)
-    files = files.select("path", "content")
-
-    def page(value: str) -> int | None:
-        found = _PAGE.fullmatch(value)
-        return int(found[1]) if found else None
-
-    def row(path: str, found: Record | Gap) -> dict:
-        base = dict.fromkeys(kinds) | {"archive": path, "byte_offset": found.offset, "byte_length": found.length}
-        if isinstance(found, Gap):
-            return base | {"gap": found.reason}
-        head, _, payload = found.block.partition(b"\r\n\r\n")
-        digest = found.headers.get("warc-payload-digest", "").partition(":")[2]
-        kind = found.headers.get("warc-type", "")
-        length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-        if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-            return base | {"gap": "payload digest differs"}
-        return base | {
-            "page_id": page(found.headers.get("warc-record-id", "")), "url": found.headers.get("warc-target-uri"), "record_type": kind,
-            "refers_to": page(found.headers.get("warc-refers-to", "")), "payload": payload if kind == "response" else None,
-            "payload_bytes": len(payload) if kind == "response" else int(length[1]) if length else None, "payload_digest": digest,
-        }
-
-    arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(n, arrow[k]) for n, k in kinds.items()])
+    spark = archives.sparkSession
+    schema = pa.schema([(n, _ARROW[k]) for n, k in KINDS.items()])
+    kinds = ", ".join(f"{n} {k}" for n, k in KINDS.items())
+    rows = archives.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("bytes") - 1, F.lit(0)) / RANGE_BYTES))).alias("k"))
+    tasks = rows.agg(F.count("*")).first()[0]
+    rows = rows.repartition(max(1, min(tasks, 1 << 16)))  # dealt evenly: few and large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
-                for found in salvage(content.as_py()):
-                    rows.append(row(path.as_py(), found))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            for path, size, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = size <= RANGE_BYTES
+                found = salvage(_open(path), k * RANGE_BYTES, None if whole else min(size, (k + 1) * RANGE_BYTES))
+                yield from _batches((_row(path, x, payloads) for x in found if whole or isinstance(x, Record)), schema)
+
+    small = rows.where(F.col("bytes") <= RANGE_BYTES).mapInArrow(run, kinds)
+    large = rows.where(F.col("bytes") > RANGE_BYTES)
+    if not archives.where(F.col("bytes") > RANGE_BYTES).head(1):
+        return small
+    found = materialise(large.mapInArrow(run, kinds), "ranges")
+    spans = found.select("archive", "byte_offset", "byte_length").union(
+        archives.where(F.col("bytes") > RANGE_BYTES).select("archive", "bytes", F.lit(0).cast("long"))
+    ).repartition("archive").sortWithinPartitions("archive", "byte_offset")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each archive, the offsets that stand (kept) and the gaps between."""
+        now, at = None, 0
+        for batch in slices(batches, 8192):
+            out = []
+            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != now:
+                    now, at = path, 0
+                if offset < at:
+                    continue
+                if offset > at:
+                    out.append((path, at, offset - at, False))
+                if length:
+                    out.append((path, offset, length, True))
+                at = offset + length
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["archive", "byte_offset", "byte_length", "kept"])
+
+    standing = materialise(spans.mapInArrow(resolve, "archive string, byte_offset long, byte_length long, kept boolean"), "standing")
+    kept = found.join(standing.where("kept").select("archive", "byte_offset"), ["archive", "byte_offset"], "left_semi").select(*KINDS)
+
+    def reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A gap is read once more: for its reason, and for records that a range began within."""
+        for batch in batches:
+            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches((_row(path, x, payloads) for x in salvage(_open(path), offset, offset + length)), schema)
 
-    return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    gaps = standing.where("not kept").select("archive", "byte_offset", "byte_length").repartition("archive", "byte_offset").mapInArrow(reasons, kinds)
+    return small.union(kept).union(gaps)
 
 
-def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the records of the manifest's archives.
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and gaps of all archives in ``folder``, of any size.
 
-    Archives that it does not list, as those of lost attempts, do not count. Only these small rows meet it.
+    Columns: archive, byte_offset, byte_length, gap (null for a record, else why), page_id, url,
+    record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest. A response
+    whose payload differs from its digest is a gap. A folder without archives gives no rows.
     """
-    def name(path: str) -> Column:
-        return F.substring_index(path, "/", -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(folder)
+    return read_archives(files.select(F.col("path").alias("archive"), F.col("length").alias("bytes")))
+
 
-    found = read_warc(spark, folder).where("gap is null").withColumn("_name", name("archive"))
-    listed = manifest.select(name("archive").alias("_name"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "_name").join(listed, "_name", "left_semi").drop("_name")
+def read_back(manifest: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of the records of the manifest's archives.
+
+    Archives that it does not list, as those of lost attempts, are not read.
+    """
+    found = read_archives(manifest.select("archive", "bytes"), payloads=False).where("gap is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -279,7 +431,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     uri = folder if ":" in folder else f"file://{folder}"
-    manifest = materialise(write_warc(with_revisits(pages), uri), "manifest")
-    if not manifest.head(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_back(spark, uri, manifest)
+    return read_back(materialise(write_warc(with_revisits(pages), uri), "manifest"))
