@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gramward.llm.common import small_batches
+from gramward.llm.common import slices
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[a-zA-Z/!?][^>]*\Z""", re.S
@@ -28,8 +28,15 @@ _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'(
 _WORDS = re.compile(r"[a-z]+")
 #: Elements by how they are read. Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math title textarea xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Nothing in these is text of the page. Those of SCRIPTS take the rest where they do not end, as in a browser; of others only the tag goes.
+RAW = frozenset("script style noscript template svg iframe object canvas title textarea".split())
+SCRIPTS = frozenset("script style".split())
+#: Their text is taken as it stands, without markup or character references.
+PLAIN = frozenset("xmp listing plaintext".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big blink cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose semantics annotation".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -52,16 +59,22 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def flows(name: str) -> bool:
+    """Elements within a line of text: inline ones, and custom ones (a hyphen in the name), which are inline unless styled."""
+    return name in INLINE or "-" in name
+
+
 def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """The nodes in page order and the text pieces (node, text); node -1 marks a block's edge."""
     page = page or ""
     nodes, pieces = [Node("body", -1, 0, frozenset())], []
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements with the node they belong to
+    unclosed: set[str] = set()  # raw elements that have no end from here on
     at, links = 0, 0
 
-    def text(raw: str) -> None:
+    def text(raw: str, plain: bool = False) -> None:
         if raw and not raw.isspace():
-            if "&" in raw:
+            if "&" in raw and not plain:
                 raw = html.unescape(raw)
             node = nodes[stack[-1][1]]
             size = len(raw)
@@ -71,13 +84,13 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.linked += size
             pieces.append((stack[-1][1], raw))
         elif raw:
-            pieces.append((-1, "") if stack[-1][0] not in INLINE else (stack[-1][1], " "))
+            pieces.append((-1, "") if not flows(stack[-1][0]) else (stack[-1][1], " "))
 
     def leave(to: int) -> None:
         nonlocal links
         for name, _ in stack[to:]:
             links -= name == "a"
-            if name not in INLINE:
+            if not flows(name):
                 pieces.append((-1, ""))
         del stack[to:]
 
@@ -100,10 +113,22 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     leave(k)
                     break
             continue
-        if name in RAW:
-            if not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+        if name in RAW or name in PLAIN:
+            if name == "svg" and found[3].endswith("/"):
+                continue
+            end = None
+            if name not in unclosed:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if name in PLAIN:
+                pieces.append((-1, ""))
+                text(page[at : end.start() if end else size], True)
+                pieces.append((-1, ""))
+            if end:
+                at = end.end()
+            elif name in SCRIPTS or name in PLAIN:
+                at = size
+            else:
+                unclosed.add(name)
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -125,17 +150,17 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-        tokens = frozenset(w for a in _ATTRIBUTE.findall(found[3]) for v in a[1:] if v for w in _WORDS.findall(v.lower())) if found[3] else frozenset()
         inline = name in INLINE
-        if inline and not tokens:
+        if inline:  # a part of its block, whatever its class: no word of kept prose goes by itself
             stack.append((name, stack[-1][1]))
-        else:
-            parent = stack[-1][1]
-            nodes[parent].children.append(len(nodes))
-            nodes.append(Node(name, parent, nodes[parent].depth + 1, tokens))
-            stack.append((name, len(nodes) - 1))
-        links += name == "a"
-        if not inline:
+            links += name == "a"
+            continue
+        tokens = frozenset(w for a in _ATTRIBUTE.findall(found[3]) for v in a[1:] if v for w in _WORDS.findall(v.lower())) if found[3] else frozenset()
+        parent = stack[-1][1]
+        nodes[parent].children.append(len(nodes))
+        nodes.append(Node(name, parent, nodes[parent].depth + 1, tokens))
+        stack.append((name, len(nodes) - 1))
+        if not flows(name):
             pieces.append((-1, ""))
     return nodes, pieces
 
@@ -385,16 +410,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text and 0. Whole pages are read, however long; malformed
-    markup is read as far as it goes. Repeated rows give repeated results; other columns are ignored. Nothing is
-    shuffled; the fitted trees, of fixed size, go to every task.
+    markup is read as far as it goes. Repeated rows give repeated results, ties between labellings drop the node; other
+    columns are ignored; an empty table gives no rows. Nothing is shuffled; the fitted trees, of fixed size, go to every task.
     """
     spark = pages.sparkSession
-    small_batches(spark, 256, "8m")
     shared = spark.sparkContext.broadcast(trained())
     fields = [pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             texts = shared.value.texts(batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
