@@ -320,21 +320,40 @@ def test_decoding_has_no_kept_node_below_a_dropped_one():
         assert legal(kept) and abs(score(kept) - best) < 1e-9
 
 
+def by_sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(chat.PREFERENCES_SQL)
+    return [c[0] for c in found.description], sorted(found.fetchall())
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (2, 0, "user", "q"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (5000, 0, "user", "q"), (5000, 1, "assistant", "b"),
         (7, None, None, None), (7, 0, "user", "alone"), (None, 0, "user", "q"), (9000, 3, "assistant", "only"), (9001, 0, "user", "q"), (9001, 1, "assistant", "a"), (9001, 2, "user", "r"),
     ]
-    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, pos string")
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, pos string, at string")
     ours = chat.preferences(table)
-    con = duckdb.connect()
-    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    theirs = con.execute(chat.PREFERENCES_SQL)
-    assert ours.columns == [c[0] for c in theirs.description]
-    assert sorted(map(tuple, ours.collect())) == sorted(theirs.fetchall())
-    whole = {(r.kind, r.chosen_id, r.rejected_id): r for r in chat.assemble(ours).collect()}
-    pair = whole["first_turn", 1, 2]
+    names, theirs = by_sql(rows)
+    assert ours.columns == names and sorted(map(tuple, ours.collect())) == theirs
+    pair = next(r for r in ours.collect() if r[:3] == ("first_turn", 1, 2))
     assert pair.prompt == "<|user|>\nq<|end|>\n" and pair.chosen.startswith("<|assistant|>\na<|end|>") and pair.rejected == "<|assistant|>\nb<|end|>\n" * 2
+    assert pair.chosen_mask == "14:9" and [pair.rejected[int(a) : int(a) + int(n)] for a, n in (x.split(":") for x in pair.rejected_mask.split(","))] == ["b<|end|>\n"] * 2
     assert chat.preferences(table.limit(0)).count() == 0
     assert all("Python" not in x and "Arrow" not in x for x in [ours._jdf.queryExecution().toString()])
+
+
+def test_preferences_of_hot_and_sparse_conversations(spark):
+    """One conversation with most turns, one without turn numbers, ids a million apart, a first turn that most share, very long texts."""
+    draw = random.Random(9)
+    rows = [(7, k, draw.choice(["user", "assistant"]), f"turn {k % 50}") for k in range(700)]
+    rows += [(8, None, draw.choice(["user", "assistant", None]), f"{'same start ' * 5}{draw.randrange(99)}") for _ in range(400)]
+    for k in range(150):
+        rows += [(10**6 * (k + 1), 0, "user", "hello" if k % 3 else f"hi {k}"), (10**6 * (k + 1), 1, "assistant", f"answer {draw.randrange(3)}")]
+        rows += [(10**6 * (k + 1), 2, "user", "more")] * (k % 2)
+    rows += [(11, 0, "user", "hello"), (11, 1, "assistant", "x" * 3_000_000), (12, 0, "user", "hello"), (12, 1, "assistant", "x" * 3_000_000 + "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    names, theirs = by_sql(rows)
+    ours = sorted(map(tuple, chat.preferences(table).select(*names).collect()))
+    assert ours == theirs and len({r[3] for r in ours}) >= 3
