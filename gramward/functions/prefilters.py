@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,24 @@ def survives(column: Column, needle: bytes, kernel: str) -> Column:
     return long_enough & _window(text, needle, offsets[kernel])
 
 
-def supports(kernel: str, q: Query) -> bool:
-    """Whether a kernel takes a query; others are reported as unsupported, not as errors."""
-    return q.op == "contains" or (kernel == "tail_code" and q.op == "contains_any")
+def survives_any(column: Column, q: Query, kernel: str) -> Column:
+    """Whether a row passes the first check for some needle."""
+    return reduce(Column.__or__, [survives(column, n, kernel) for n in dict.fromkeys(q.needles)])
+
+
+def pairs_tested(column: Column, q: Query, kernel: str = "tail_code") -> Column:
+    """How many needles, in order, pass the first check up to the first that matches."""
+    counted, found = F.lit(0), F.lit(False)
+    for needle in q.needles:
+        counted = counted + F.when(~found & survives(column, needle, kernel), 1).otherwise(0)
+        found = found | matches(column, query("contains", needle))
+    return counted
 
 
 def attribution(rows: DataFrame, column: str, needle: bytes, kernel: str) -> DataFrame:
     """One row: rows, survivors, matches, prune_rate and fp_rate of a kernel, in one scan."""
+    if not isinstance(needle, bytes) or kernel not in KERNELS:
+        raise ValueError(f"kernel {kernel!r} and a needle of bytes are needed; there are {KERNELS}")
     col = F.col(column)
     counted = rows.agg(
         F.count(col).alias("n_rows"), F.count_if(survives(col, needle, kernel)).alias("survivors"),

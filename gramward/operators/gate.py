@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramward.functions.predicates import Query, matches
@@ -16,22 +16,20 @@ def bitmap_words(rows: DataFrame, id_column: str, condition: Column) -> DataFram
 
 
 def truths(rows: DataFrame, id_column: str, column: str, queries: list[Query], sample: int = 8) -> DataFrame:
-    """``query_id, op, match_count, selectivity, sample`` of many queries, all in one scan.
+    """``query_id, op, match_count, selectivity, sample`` of many queries, without a scan or sort for each.
 
-    Counts are conditional aggregates. The sample of first ids holds at most ``sample`` of each task and query.
+    Counts are conditional aggregates of one pass. For the samples of first ids a second pass gives a row for each match; a
+    rank limit keeps the least ``sample`` of each query within each task, before they meet.
     """
     col = F.col(column)
-    total = F.count(col)
-    found = [F.struct(F.lit(q.id).alias("query_id"), F.lit(q.op).alias("op"), F.count_if(matches(col, q)).alias("match_count"), total.alias("n")) for q in queries]
-    counts = rows.agg(*[c.alias(f"q{k}") for k, c in enumerate(found)])
-    flat = counts.select(F.explode(F.array(*[F.col(f"q{k}") for k in range(len(queries))])).alias("q")).select("q.*")
-    counted = flat.select("query_id", "op", "match_count", (F.col("match_count") / F.col("n")).alias("selectivity"))
-    first = None
-    for q in queries:
-        top = rows.where(matches(col, q)).select(F.lit(q.id).alias("query_id"), F.col(id_column).alias("id")).orderBy("id").limit(sample)
-        first = top if first is None else first.union(top)
-    listed = first.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("sample"))
-    return counted.join(listed, "query_id", "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<long>")))
+    counts = rows.agg(F.count(col).alias("n"), *[F.count_if(matches(col, q)).alias(f"q{k}") for k, q in enumerate(queries)])
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q.id).alias("query_id"), F.lit(q.op).alias("op"), F.col(f"q{k}").alias("match_count")) for k, q in enumerate(queries)])
+    flat = counts.select("n", F.explode(listed).alias("q")).select("q.*", (F.col("q.match_count") / F.col("n")).alias("selectivity"))
+    hit = F.filter(F.array(*[F.when(matches(col, q), F.lit(k)) for k, q in enumerate(queries)]), lambda k: k.isNotNull())
+    met = rows.select(F.col(id_column).alias("id"), F.explode(hit).alias("k"))
+    few = met.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where(F.col("_r") <= sample)
+    first = few.groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("sample"))  # at most `sample` ids
+    return flat.join(first, "k", "left").select("query_id", "op", "match_count", "selectivity", F.coalesce("sample", F.array().cast("array<long>")).alias("sample"))
 
 
 def gate(expected: DataFrame, actual: DataFrame, id_column: str) -> DataFrame:
@@ -45,6 +43,14 @@ def gate(expected: DataFrame, actual: DataFrame, id_column: str) -> DataFrame:
     ).withColumn("gate_ok", F.col("first_divergent").isNull())
 
 
+def explain(expected: DataFrame, actual: DataFrame, rows: DataFrame, id_column: str, column: str, shown: int = 128) -> DataFrame:
+    """The gate's row with the first divergent row's text, up to ``shown`` bytes, what is no UTF-8 replaced."""
+    found = gate(expected, actual, id_column)
+    raw = F.substring(F.col(column).cast("binary"), 1, shown)
+    text = rows.select(F.col(id_column).alias("first_divergent"), F.decode(raw, "UTF-8").alias("divergent_text"))
+    return found.join(text, "first_divergent", "left").select("expected", "actual", "first_divergent", "gate_ok", "divergent_text")
+
+
 def canary(rows: DataFrame, id_column: str, column: str, q: Query, flipped: int = 0) -> DataFrame:
     """A deliberately wrong variant: the answer of one row is turned over. A gate must catch it."""
     right = F.coalesce(matches(F.col(column), q), F.lit(False))

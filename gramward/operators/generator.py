@@ -6,16 +6,23 @@ same workload at any partitioning. All needles are probed together in one pass o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import random
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramward.functions.predicates import SINGLE, Query, matches, query
+
 # Decades by their centre (accepted within a quarter of a decade) and dense bands (within a fifth).
 DECADES = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 DENSE = (0.3, 0.5, 0.8)
 SINGLE_LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 SAMPLE_ROWS = 65_536
+#: Characters between the fragments of an ordered query at most; needles of the pool of unordered ones.
+GAP, POOL = 32, 256
+SINGLE_OPS = ("prefix", "suffix", "contains")
 
 
 @dataclass(frozen=True)
@@ -77,17 +84,29 @@ def eligible(rows: DataFrame, column: str, lengths: tuple[int, ...]) -> DataFram
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.col(f"n{n}").alias("n")) for n in lengths])).alias("x")).select("x.*")
 
 
-def sample_needles(rows: DataFrame, id_column: str, column: str, op: str, length: int, draws: int, seed: int = 42) -> DataFrame:
-    """``needle``: windows of ``length`` characters of the rows with the least draws."""
-    draw = F.xxhash64(F.lit(seed), F.lit(op), F.lit(length), id_column)
+def _draw(seed: int, op: str, length: int, id_column: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit(op), F.lit(length), id_column)
+
+
+def sample_windows(rows: DataFrame, id_column: str, column: str, op: str, length: int, draws: int, seed: int = 42, more: int = 0) -> DataFrame:
+    """``k, window``: windows of ``length`` characters (and up to ``more`` behind) of the rows with the least draws."""
+    draw = _draw(seed, op, length, id_column)
     room = F.length(column) - length + 1
     start = {"prefix": F.lit(1), "suffix": room}.get(op, F.pmod(F.xxhash64(draw, F.lit("start")), F.greatest(room, F.lit(1))).cast("int") + 1)
     picked = rows.where(F.length(column) >= length).orderBy(draw, id_column).limit(draws)
-    return picked.select(F.substring(F.col(column), start, F.lit(length)).alias("needle")).distinct()
+    return picked.select(draw.alias("k"), F.substring(F.col(column), start, F.lit(length + more)).alias("window"))
+
+
+def sample_needles(rows: DataFrame, id_column: str, column: str, op: str, length: int, draws: int, seed: int = 42) -> DataFrame:
+    """``needle``: distinct windows of ``length`` characters of the rows with the least draws."""
+    return sample_windows(rows, id_column, column, op, length, draws, seed).select(F.col("window").alias("needle")).distinct()
+
+
+TESTS = {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains}
 
 
 def test_of(op: str, text: Column, needle: Column) -> Column:
-    return {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains}[op](text, needle)
+    return TESTS[op](text, needle)
 
 
 def probe(rows: DataFrame, column: str, needles: list[str], op: str = "contains", stride: int = 1, id_column: str | None = None) -> DataFrame:
@@ -112,12 +131,204 @@ def dedupe(queries: DataFrame) -> DataFrame:
     return queries.select("op", key.alias("needles")).distinct()
 
 
-def generate(rows: DataFrame, id_column: str, column: str, quick: bool = True, draws: int = 32, seed: int = 42) -> DataFrame:
-    """All accepted single-needle queries ``op, length, band, needle, match_count, selectivity``; replicates are not chosen."""
-    out = None
-    for op, length in sorted({(p.op, p.length) for p in grid(quick) if p.op in ("prefix", "suffix", "contains")}):
-        drawn = [r[0] for r in sample_needles(rows, id_column, column, op, length, draws, seed).collect()]  # at most `draws`
-        if drawn:
-            found = probe(rows, column, drawn, op).select(F.lit(op).alias("op"), F.lit(length).alias("length"), "*")
-            out = found if out is None else out.union(found)
-    return out.withColumn("band", band_of(F.col("selectivity"))).where("band is not null")
+def _literal_array(texts: list[str]) -> Column:
+    """Distinct texts as one literal: thousands of literals would be as many nodes of the plan."""
+    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in t for t in texts))
+    return F.split(F.lit(mark.join(sorted(set(texts)))), mark)
+
+
+def count_needles(rows: DataFrame, column: str, needles: dict[str, list[str]]) -> dict[tuple[str, str], int]:
+    """Matches of each (op, needle), all in one scan: a row gives those needles that it holds, which are summed in its task first."""
+    hit = F.array().cast("array<struct<op:string,needle:string>>")
+    for op, own in needles.items():
+        if own:
+            found = F.filter(_literal_array(own), lambda n: TESTS[op](F.col(column), n))  # noqa: B023 (called at once)
+            hit = F.concat(hit, F.transform(found, lambda n: F.struct(F.lit(op).alias("op"), n.alias("needle"))))
+    counts = {(op, n): 0 for op, own in needles.items() for n in own}
+    met = rows.where(F.col(column).isNotNull()).select(F.explode(hit).alias("h")).groupBy("h.op", "h.needle").agg(F.count("*").alias("n"))
+    counts.update({(r["op"], r["needle"]): r["n"] for r in met.collect()})  # one for each needle asked for
+    return counts
+
+
+def count_queries(rows: DataFrame, column: str, queries: list[Query]) -> dict[Query, int]:
+    """Matches of queries of several needles, as conditional counts of a few aggregates."""
+    out = {}
+    for at in range(0, len(queries), 64):
+        part = queries[at : at + 64]
+        row = rows.agg(*[F.count_if(matches(F.col(column), q)).alias(f"c{k}") for k, q in enumerate(part)]).first()
+        out |= dict(zip(part, row, strict=True))
+    return out
+
+
+def mutations(needle: str, draw: random.Random, tries: int = 8) -> list[str]:
+    """The needle with one or two characters changed, ``tries`` times."""
+    out = []
+    for _ in range(tries):
+        text = list(needle)
+        for at in draw.sample(range(len(text)), min(len(text), draw.choice((1, 2)))):
+            text[at] = chr(draw.choice([c for c in range(33, 127) if chr(c) != text[at]]))
+        out.append("".join(text))
+    return out
+
+
+def fragments_of(window: str, count: int, total: int, draw: random.Random) -> list[str] | None:
+    """``count`` fragments of ``total`` characters together, in order, with gaps of ``GAP`` at most; None where the window is too short."""
+    if len(window) < total or total < count:
+        return None
+    cuts = sorted(draw.sample(range(1, total), count - 1))
+    sizes = [b - a for a, b in zip([0, *cuts], [*cuts, total], strict=True)]
+    slack, at, out = min(GAP, len(window) - total), 0, []
+    for size in sizes:
+        out.append(window[at : at + size])
+        gap = draw.randint(0, slack)
+        slack, at = slack - gap, at + size + gap
+    return out
+
+
+def picks(pool: dict[str, float], point: Point, draw: random.Random) -> list[str] | None:
+    """``k`` needles of the pool that may reach the point's band together: alike in share, or one with it all; None if there are too few."""
+    k, band = point.k, point.band
+    if point.mix == "balanced":
+        near = [n for n, p in pool.items() if band / (3 * k) <= p <= 3 * band / k]
+        return draw.sample(sorted(near), k) if len(near) >= k else None
+    high = [n for n, p in pool.items() if 0.5 * band <= p <= 1.5 * band]
+    low = [n for n, p in pool.items() if p <= max(band / (10 * k), 1e-6) and n not in high]
+    return [draw.choice(sorted(high)), *draw.sample(sorted(low), k - 1)] if high and len(low) >= k - 1 else None
+
+
+def accepts(band: float, selectivity: float) -> bool:
+    """``band_of`` for one number."""
+    if band == 0 or selectivity == 0:
+        return band == selectivity
+    if band in DENSE:
+        return abs(selectivity - band) <= 0.2 * band
+    return abs(math.log10(selectivity) - math.log10(band)) <= 0.25
+
+
+def hopeful(band: float, estimate: float) -> bool:
+    """``plausible`` for one number."""
+    if band == 0:
+        return estimate == 0
+    if estimate == 0:
+        return band <= 3e-5
+    if band >= 0.3:
+        return 0.5 * band <= estimate <= 1.5 * band
+    return abs(math.log10(estimate) - math.log10(band)) <= 0.75
+
+
+def query_id(point: Point, number: int) -> str:
+    extra = f"-f{point.fragments}" if point.fragments else f"-k{point.k}-{point.mix}" if point.k else ""
+    return f"{point.op}-b{point.band:g}-l{point.length}{extra}-{number:02d}"
+
+
+@dataclass(frozen=True)
+class Made:
+    """A generated query with its point, matches and selectivity."""
+
+    id: str
+    point: Point
+    needles: tuple[str, ...]
+    match_count: int
+    selectivity: float
+
+
+def workload(rows: DataFrame, id_column: str, column: str, quick: bool = False, seed: int = 42, budget: int | None = None) -> tuple[list[Made], list[dict]]:
+    """The queries of every point of the grid, its replicates chosen, and a report of the points.
+
+    Candidates are drawn (``budget`` of each operator and length, or point), estimated on every so many-th row, and those that are
+    plausible for some band are counted over all rows. Of a point the first that its band accepts are taken, no two alike. What reaches the driver are needles and
+    counts: as many as the grid asks for, whatever the table's size. Report: point fields, made, status (filled, partial, empty) and reason.
+    """
+    budget = budget or (12 if quick else 32)
+    points = grid(quick)
+    rows = rows.where(F.col(column).isNotNull())
+    n_rows = rows.count()
+    stride = max(1, math.ceil(n_rows / SAMPLE_ROWS))
+    sample = rows.where(F.pmod(F.col(id_column), F.lit(stride)) == 0)
+    n_sample = n_rows if stride == 1 else sample.count()
+    singles = sorted({(p.op, p.length) for p in points if p.op in SINGLE})
+    multis = sorted({(p.fragments, p.length) for p in points if p.op == "multi_contains"})
+    asked = [(op, length, 0, budget) for op, length in singles] + [("multi_contains", total, GAP, budget * len(multis)) for total in sorted({t for _, t in multis})]
+    asked += [("contains_any", 8, 0, POOL)] if any(p.op == "contains_any" for p in points) else []
+    drawn: dict[tuple[str, int], list[str]] = {}
+    union = None
+    for op, length, more, count in asked:
+        own = sample_windows(rows, id_column, column, op, length, count, seed, more).select(F.lit(op).alias("op"), F.lit(length).alias("length"), "k", "window")
+        union = own if union is None else union.union(own)
+    for r in union.orderBy("op", "length", "k", "window").collect() if n_rows else []:
+        drawn.setdefault((r["op"], r["length"]), []).append(r["window"])
+
+    # Operators of one needle, and mutations of theirs that match nothing.
+    candidates = {key: list(dict.fromkeys(drawn.get(key, []))) for key in singles}
+    changed = {key: {n: mutations(n, random.Random(f"{seed}|{key}|{n}")) for n in own} for key, own in candidates.items()}
+    pool = list(dict.fromkeys(drawn.get(("contains_any", 8), [])))
+    by_op: dict[str, list[str]] = {op: [] for op in SINGLE_OPS}
+    for (op, length), own in candidates.items():
+        by_op[op] += own + [m for n in own for m in changed[op, length][n]]
+    estimates = count_needles(sample, column, by_op) if n_sample else {}
+    bands = {key: sorted({p.band for p in points if (p.op, p.length) == key}) for key in singles}
+    exact: dict[str, list[str]] = {op: [] for op in SINGLE_OPS}
+    no_match: dict[tuple[str, int], list[str]] = {}
+    for (op, length), own in candidates.items():
+        for n in own:
+            share = estimates[op, n] / n_sample
+            if any(hopeful(b, share) for b in bands[op, length] if b > 0):
+                exact[op].append(n)
+            fresh = next((m for m in changed[op, length][n] if estimates[op, m] == 0), None)
+            if fresh is not None:
+                no_match.setdefault((op, length), []).append(fresh)
+                exact[op].append(fresh)
+    exact["contains"] += pool
+    counts = count_needles(rows, column, exact) if n_rows else {}
+
+    made: list[Made] = []
+    tried: dict[Point, tuple[int, int]] = {}
+    several: dict[Point, list[Query]] = {}
+    shares = {n: counts.get(("contains", n), 0) / max(1, n_rows) for n in pool}
+    for p in points:
+        draw = random.Random(f"{seed}|{p}")
+        if p.op == "multi_contains":
+            windows = drawn.get((p.op, p.length), [])
+            options = [fragments_of(w, p.fragments, p.length, draw) for w in draw.sample(windows, min(len(windows), budget))]
+        elif p.op == "contains_any":
+            options = [picks(shares, p, draw) for _ in range(budget)]
+        else:
+            continue
+        several[p] = list(dict.fromkeys(query(p.op, *x) for x in options if x and all(x)))
+    together = list(dict.fromkeys(q for own in several.values() for q in own))
+    rough = count_queries(sample, column, together) if stride > 1 else {}
+    likely = [q for q in together if not rough or any(q in own and hopeful(p.band, rough[q] / n_sample) for p, own in several.items())]
+    totals = count_queries(rows, column, likely) if n_rows else {}
+    for p in points:
+        if p.op in SINGLE_OPS:
+            own = no_match.get((p.op, p.length), []) if p.band == 0 else [n for n in candidates[p.op, p.length] if n in exact[p.op]]
+            found = [((n,), counts[p.op, n]) for n in dict.fromkeys(own)]
+        else:
+            found = [(tuple(n.decode() for n in q.needles), totals[q]) for q in several[p] if q in totals]
+        seen, taken = set(), 0
+        for needles, matched in found:
+            key = tuple(sorted(needles)) if p.op == "contains_any" else needles
+            if taken < p.replicates and key not in seen and accepts(p.band, matched / n_rows):
+                seen.add(key)
+                made.append(Made(query_id(p, taken), p, needles, matched, matched / n_rows))
+                taken += 1
+        tried[p] = len(found), taken
+    report = []
+    for p in points:
+        options, taken = tried[p]
+        status = "filled" if taken == p.replicates else "partial" if taken else "empty"
+        reason = None if status == "filled" else "no candidate" if not options else "none in the band" if not taken else "too few in the band"
+        report.append(asdict(p) | {"candidates": options, "made": taken, "status": status, "reason": reason})
+    return made, report
+
+
+def generate(rows: DataFrame, id_column: str, column: str, quick: bool = False, seed: int = 42) -> DataFrame:
+    """``id, op, length, band, fragments, k, mix, needles, match_count, selectivity`` of a whole workload."""
+    made, _ = workload(rows, id_column, column, quick, seed)
+    out = [(m.id, m.point.op, m.point.length, m.point.band, m.point.fragments, m.point.k, m.point.mix, list(m.needles), m.match_count, m.selectivity) for m in made]
+    return rows.sparkSession.createDataFrame(out, "id string, op string, length int, band double, fragments int, k int, mix string, needles array<string>, match_count long, selectivity double")
+
+
+def report_frame(spark: SparkSession, report: list[dict]) -> DataFrame:
+    names = "op string, band double, length int, k int, mix string, fragments int, replicates int, candidates int, made int, status string, reason string"
+    return spark.createDataFrame([tuple(r.values()) for r in report], names)

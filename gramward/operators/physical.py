@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramward.functions.predicates import Query, matches
@@ -12,9 +15,38 @@ def direct(rows: DataFrame, column: str, q: Query) -> DataFrame:
     return rows.where(matches(F.col(column), q))
 
 
-def dictionary(rows: DataFrame, column: str, q: Query) -> DataFrame:
-    """Each distinct value is tested once; rows follow by a semi join, which AQE broadcasts where the matches are few."""
-    return rows.join(rows.select(column).distinct().where(matches(F.col(column), q)), column, "left_semi").select(*rows.columns)
+def dictionary(rows: DataFrame, column: str, q: Query, condition: Callable[[Column, Query], Column] = matches) -> DataFrame:
+    """Each distinct value is tested once; rows follow by a semi join.
+
+    Values are known by 128 bits of hash, so that a text is shuffled at most once, and only where the partial
+    aggregation of its task has not met it already; rows themselves are joined by hash.
+    """
+    h, h2 = F.xxhash64(column), F.xxhash64(F.lit("value"), column)
+    values = rows.where(F.col(column).isNotNull()).groupBy(h.alias("_h"), h2.alias("_h2")).agg(F.any_value(column).alias("_value"))
+    hits = values.where(condition(F.col("_value"), q)).select("_h", "_h2")
+    return rows.join(hits, (h == F.col("_h")) & (h2 == F.col("_h2")), "left_semi").select(*rows.columns)
+
+
+def mandatory(column: Column, q: Query, size: int = 4) -> Column:
+    """A necessary condition: for some needle, its rarest run of ``size`` bytes is there (the whole needle, if shorter)."""
+    from gramward.functions.prefilters import commonness
+
+    def piece(needle: bytes) -> str:
+        text = needle.decode()
+        cuts = [text[k : k + size] for k in range(max(1, len(text) - size + 1))]
+        return min(cuts, key=lambda c: sum(commonness(b) for b in c.encode()))
+
+    found = [F.contains(column, F.lit(piece(n))) if n else column.isNotNull() for n in dict.fromkeys(q.needles)]
+    return reduce(Column.__or__, found)
+
+
+def grouped_any(column: Column, q: Query, group: int = 8) -> Column:
+    """``contains_any`` of many needles in groups: a group's shared first check, then its needles, groups joined by or."""
+    from gramward.functions.prefilters import survives_any
+
+    needles = list(dict.fromkeys(q.needles))
+    parts = [Query(q.id, q.op, tuple(needles[k : k + group])) for k in range(0, len(needles), group)]
+    return reduce(Column.__or__, [survives_any(column, p, "tail_code") & matches(column, p) for p in parts])
 
 
 def dictionary_stats(rows: DataFrame, column: str, q: Query, id_column: str | None = None, chunk_rows: int = 0) -> DataFrame:
@@ -52,6 +84,16 @@ def codec_round_trip(rows: DataFrame, folder: str, codec: str, level: int | None
     return rows.sparkSession.read.parquet(folder)
 
 
+def codec_sizes(folders: dict[str, str], spark: SparkSession) -> DataFrame:
+    """``codec, bytes``: what the files of each folder hold."""
+    out = None
+    for codec, folder in folders.items():
+        sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        sizes = sizes.select(F.lit(codec).alias("codec"), "bytes")
+        out = sizes if out is None else out.union(sizes)
+    return out
+
+
 def grams(column: Column, size: int) -> Column:
     """Distinct n-grams of characters; none of a shorter text."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - size + 1))
@@ -81,6 +123,21 @@ def token_index(rows: DataFrame, id_column: str, column: str) -> DataFrame:
     return rows.select(id_column, F.explode(F.filter(F.split(column, " "), lambda t: t != "")).alias("token")).groupBy("token", id_column).agg(F.count("*").alias("n"))
 
 
+def token_statistics(rows: DataFrame, id_column: str, column: str) -> DataFrame:
+    """``token, term_freq, row_freq, place``: tokens in alphabetical order and the running sum of the term frequencies before each.
+
+    The running sum goes by first characters: sums within one of them, and the total of those before. Order is by code point.
+    """
+    counts = token_index(rows, id_column, column).groupBy("token").agg(F.sum("n").alias("term_freq"), F.count("*").alias("row_freq"))
+    counts = counts.withColumn("_first", F.substring("token", 1, 2))
+    firsts = counts.groupBy("_first").agg(F.sum("term_freq").alias("_n"))
+    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each pair of first characters
+    starts = firsts.select("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_first").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_within", F.coalesce(F.sum("term_freq").over(within), F.lit(0)))
+    return placed.join(starts, "_first").select("token", "term_freq", "row_freq", (F.col("_start") + F.col("_within")).alias("place"))
+
+
 def token_cover(rows: DataFrame, id_column: str, column: str, needle: str) -> DataFrame:
     """Ids that hold a token through which every match of ``needle`` must pass: a sound superset of the matches.
 

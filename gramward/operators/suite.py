@@ -14,6 +14,8 @@ from gramward.functions.predicates import Query, matches
 from gramward.sources.columns import write_json
 
 ALGO = "xxh3"
+#: First matching ids that a truth holds.
+SAMPLE = 8
 
 
 def encode_needle(needle: bytes) -> str | dict:
@@ -65,12 +67,17 @@ def read(folder: str, manifest: dict, blessed: bool = True) -> tuple[dict, list[
 
 
 def truth(matched: DataFrame, rows: int) -> dict:
-    """Count, hash and first ids of a matched set. Its bitmap words are summed in Spark; a bit for each row comes here."""
+    """Count, hash and first ids of a matched set. Bitmap words are made in Spark and pass in order through the hash, which is one of their sequence."""
     word = F.floor(F.col("row_id") / 64).cast("long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row_id", F.lit(64)).cast("int"))
-    words = matched.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    ids = [r["word"] * 64 + b for r in words.toLocalIterator() for b in range(64) if r["bits"] >> b & 1]
-    return {"count": len(ids), "hash": root.bitmap_hash(ids, rows), "algo": ALGO, "sample_indices": sorted(ids)[:8]}
+    words = matched.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).orderBy("word")
+    state, at, count, first = root.Bitmap(rows), 0, 0, []
+    for at, bits in words.toLocalIterator():
+        own = state.add(at, bits)
+        count += own
+        if len(first) < SAMPLE:
+            first += [at * 64 + b for b in range(64) if bits >> b & 1]
+    return {"count": count, "hash": state.digest(), "algo": ALGO, "sample_indices": first[:SAMPLE]}
 
 
 def _truths(rows: DataFrame, manifest: dict, queries: list[Query]) -> dict[str, dict]:

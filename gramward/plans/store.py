@@ -43,9 +43,24 @@ def gate_ok(status: str, truth_hash: str, hash_: str, truth_count: str, count: s
     return F.coalesce(right, F.lit(False))
 
 
-def label(candidate: str, strategy: str, scanner: str) -> Column:
+def label(candidate: str, strategy: str, scanner: str, config: str | None = None) -> Column:
+    """``candidate/strategy+scanner@k=v,...``: the scanner and the settings (a map, in order of its keys) where there are any."""
     scan = F.when(F.col(scanner).isNotNull(), F.concat(F.lit("+"), F.col(scanner))).otherwise("")
-    return F.concat(F.col(candidate), F.lit("/"), F.col(strategy), scan)
+    parts = [F.col(candidate), F.lit("/"), F.col(strategy), scan]
+    if config is not None:
+        pairs = F.transform(F.array_sort(F.map_entries(config)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        parts.append(F.when(F.size(config) > 0, F.concat(F.lit("@"), F.array_join(pairs, ","))).otherwise(""))
+    return F.concat(*parts)
+
+
+def spec_key(*columns: str) -> Column:
+    """16 hex digits of the content: arrays are sorted, so that their order does not count."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.array_join(F.array_sort(c), ",") for c in columns]), 256), 1, 16)
+
+
+def is_text(needles: Column) -> Column:
+    """Whether all needles are UTF-8."""
+    return F.forall(needles, lambda n: F.is_valid_utf8(n.cast("string")))
 
 
 def needle_text(needles: Column) -> Column:
@@ -61,5 +76,6 @@ def view(fact: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFrame:
         out = out.join(rows, key)
     return out.withColumns({
         "ns_per_value": F.col("median_ns") / F.col("n_values"), "ns_per_domain_value": F.col("median_ns") / F.coalesce("eval_domain", "n_values"),
-        "dedup_factor": F.col("n_values") / F.coalesce("eval_domain", "n_values"), "compression_ratio": F.col("raw_bytes") / F.col("footprint_bytes"),
+        "dedup_factor": F.col("n_values") / F.coalesce("eval_domain", "n_values"), "selectivity_domain": F.col("eval_domain_matches") / F.col("eval_domain"),
+        "gbps_raw": F.col("raw_bytes") / F.col("median_ns"), "compression_ratio": F.col("raw_bytes") / F.col("footprint_bytes"),
     })

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import warnings
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +46,17 @@ def extract_json_field(spark: SparkSession, path: str, field: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.get_json_object("value", f"$.{field}")).alias("data")).where("data != ''")
 
 
-def extract_english_literals(spark: SparkSession, path: str) -> DataFrame:
-    """The text between the first quote and the last ``"@en`` of N-Triples lines."""
+def first_in_order(rows: DataFrame, count: int | None) -> DataFrame:
+    """The first rows in the order of the source; all without a count."""
+    if count is None:
+        return rows
+    return rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(count).drop("_at")
+
+
+def extract_english_literals(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """The text between the first quote and the last ``"@en`` of N-Triples lines; the first ``count`` in file order."""
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
-    return rows.select(F.regexp_extract("value", r'^[^"]*"(.*)"@en', 1).alias("data")).where("data != ''")
+    return rows.select(F.regexp_extract("value", r'^[^"]*"(.*)"@en', 1).alias("data")).where("data != ''").transform(first_in_order, count)
 
 
 def extract_xml_element(spark: SparkSession, path: str, row_tag: str, element: str) -> DataFrame:
@@ -76,6 +85,14 @@ def extract_tar_tsv(spark: SparkSession, path: str, field: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "data string")
 
 
+def check_files(spark: SparkSession, path: str, expected: dict[str, str]) -> None:
+    """Stop where a file of that name is not there or has another SHA-256."""
+    found = {os.path.basename(r["path"]): r["sha256"] for r in file_digests(spark, path).collect()}
+    wrong = sorted(name for name, digest in expected.items() if found.get(name) != digest)
+    if wrong:
+        raise ValueError(f"{path}: not as expected: {wrong}")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
@@ -83,15 +100,47 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def ingest(rows: DataFrame, order: Column | None = None) -> DataFrame:
     """``row_id, data``: nulls removed, rows numbered from 0 in source order, or by ``order``.
 
-    Numbering takes a count for each partition and an offset, not one sorted partition.
+    Numbering takes a count for each partition and an offset, not one sorted partition: a row's place in its partition comes
+    with its id, and the offsets, one for each partition, are broadcast. Sorted rows are kept, since a second sort may deal them otherwise.
     """
-    kept = rows.where(F.col("data").isNotNull())
+    kept = rows.where(F.col("data").isNotNull()).select("data")
     if order is not None:
-        kept = kept.sort(order)
-    kind = rows.schema["data"].dataType
-    numbered = kept.select("data").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    schema = T.StructType([T.StructField("row_id", T.LongType(), False), T.StructField("data", kind)])
-    return rows.sparkSession.createDataFrame(numbered, schema)
+        kept = kept.sort(order).persist()
+    placed = kept.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = {r["_part"]: r["n"] for r in placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()}  # one for each partition
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts.append((k, total - (k << 33)))
+        total += counts[k]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _shift long")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.select((F.col("_at") + F.col("_shift")).alias("row_id"), "data")
+
+
+def load_column(spark: SparkSession, folder: str, verify: bool = False) -> tuple[DataFrame, dict]:
+    """A written column with its manifest, held against each other: row count, ids from 0 without gaps, byte counts; the checksum if asked."""
+    manifest = json.loads(Path(folder, "manifest.json").read_text())
+    rows = spark.read.parquet(f"{folder}/data.parquet")
+    if rows.columns != ["row_id", "data"]:
+        raise ValueError(f"{folder}: columns {rows.columns}, row_id and data are needed")
+    found = rows.agg(
+        F.count("*").alias("n"), F.coalesce(F.min("row_id"), F.lit(0)).alias("low"), F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("high"),
+        F.count_distinct("row_id").alias("ids"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.count("data").alias("values"),
+    ).first()
+    if not found["n"] == found["high"] == found["ids"] == found["values"] == manifest["num_rows"] or found["low"] or found["bytes"] != manifest["payload_bytes"]:
+        raise ValueError(f"{folder}: the data is not what its manifest says")
+    if verify and checksum_of(rows) != manifest["checksum"]:
+        raise ValueError(f"{folder}: checksum differs")
+    return rows, manifest
+
+
+def checksum_of(rows: DataFrame) -> str:
+    """The checksum of rows in order, which pass through the driver one by one: it is defined over their sequence."""
+    from gramward.functions.truth import column_checksum
+
+    ordered = rows.sort("row_id").select("data").toLocalIterator()
+    return column_checksum(bytes(r[0]) if not isinstance(r[0], str) else r[0].encode() for r in ordered)
 
 
 def column_stats(rows: DataFrame, column: str) -> DataFrame:
@@ -125,16 +174,14 @@ def byte_histogram(rows: DataFrame, column: str) -> DataFrame:
 
 def write_column(rows: DataFrame, folder: str, dataset: str, source: dict) -> dict:
     """Write the canonical artifact and its manifest; refuses a column without rows."""
-    from gramward.functions.truth import column_checksum
-
     stats = column_stats(rows, "data").first().asDict()
     if not stats["num_rows"]:
         raise ValueError(f"{dataset}: no rows")
+    spark = rows.sparkSession
     rows.write.parquet(f"{folder}/data.parquet")
-    ordered = (bytes(r[0]) if not isinstance(r[0], str) else r[0].encode() for r in rows.sort("row_id").select("data").toLocalIterator())
     manifest = {"format_version": 1, "id": dataset, "source": source, **stats}
     manifest["byte_freq"] = [r["n"] for r in byte_histogram(rows, "data").sort("byte").collect()]
-    manifest["checksum"] = column_checksum(ordered)
+    manifest["checksum"] = checksum_of(spark.read.parquet(f"{folder}/data.parquet"))
     write_json(f"{folder}/manifest.json", manifest)
     return manifest
 
@@ -147,6 +194,37 @@ def write_json(path: str, value: object) -> None:
 
 
 def read_results(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Result rows of JSON lines: malformed ones fail if strict, else go."""
-    reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    return reader.json(path)
+    """Result rows of JSON lines. Malformed ones are told with their number and go; if strict, the first fails with its line."""
+    lines = spark.read.text(path, wholetext=False).withColumn("_at", F.monotonically_increasing_id())
+    parsed = F.from_json("value", schema.rstrip() + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    rows = lines.where(F.trim("value") != "").select("_at", "value", parsed.alias("r"))
+    bad = rows.where(F.col("r._bad").isNotNull() | F.col("r").isNull())
+    if strict:
+        first = bad.orderBy("_at").select("value").first()
+        if first:
+            number = next((k for k, line in enumerate(_lines(path), 1) if line == first["value"]), "?")
+            raise ValueError(f"{path}, line {number}: no result row: {first['value'][:80]!r}")
+    else:
+        count = bad.count()
+        if count:
+            warnings.warn(f"{path}: {count} malformed rows left out", stacklevel=2)
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    return rows.where(F.col("r._bad").isNull() & F.col("r").isNotNull()).select(*[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def _lines(path: str) -> list[str]:
+    if os.path.isfile(path):
+        return Path(path).read_text(errors="replace").splitlines()
+    return []
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of rows: CSV with a header, JSON lines, a JSON list, or an object with the list under ``rows``."""
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if path.endswith((".jsonl", ".ndjson")):
+        return spark.read.json(path)
+    rows = spark.read.option("multiLine", True).json(path)
+    if rows.columns == ["rows"]:
+        return rows.select(F.explode("rows").alias("row")).select("row.*")
+    return rows
