@@ -262,14 +262,14 @@ def test_shingle_links_connect_as_brute_force(spark, rows, shingles, monkeypatch
     monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
     draw = random.Random(22)
-    sets, own = [], {draw.getrandbits(62) for _ in range(18)}
+    sets, own = [], {draw.getrandbits(31) for _ in range(18)}
     for _ in range(60):
         sets.append(sorted(own))
         for gone in draw.sample(sorted(own), draw.choice([1, 1, 2, 3])):
             own.remove(gone)
-            own.add(draw.getrandbits(62))
+            own.add(draw.getrandbits(31))
     spread = spark.createDataFrame([(k, len(x), key) for k, x in enumerate(sets) for key in ([1] if k % 3 else [1, 2])], "node long, size long, key long")
-    found = [(r.a, r.b) for r in simhash.bucket_links(spread, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")).collect()]
+    found = [(r.a, r.b) for r in simhash.bucket_links(spread, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<int>")).collect()]
     alike = lambda a, b: 25 * len({*sets[a]} & {*sets[b]}) ** 2 >= 16 * len(sets[a]) * len(sets[b])
     near = [(a, b) for a in range(60) for b in range(a) if alike(a, b)]
     assert all(alike(a, b) for a, b in found) and 20 < len(near) < 200 and roots(60, found) == roots(60, near)
