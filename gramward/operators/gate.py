@@ -47,7 +47,7 @@ def explain(expected: DataFrame, actual: DataFrame, rows: DataFrame, id_column:
     """The gate's row with the first divergent row's text, up to ``shown`` bytes, what is no UTF-8 replaced."""
     found = gate(expected, actual, id_column)
     raw = F.substring(F.col(column).cast("binary"), 1, shown)
-    text = rows.select(F.col(id_column).alias("first_divergent"), F.decode(raw, "UTF-8").alias("divergent_text"))
+    text = rows.select(F.col(id_column).alias("first_divergent"), F.make_valid_utf8(raw.cast("string")).alias("divergent_text"))
     return found.join(text, "first_divergent", "left").select("expected", "actual", "first_divergent", "gate_ok", "divergent_text")
 
 

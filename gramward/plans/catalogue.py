@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramward.functions import prefilters
+from gramward.functions import prefilters, registry
 from gramward.functions.predicates import matches, query
 from gramward.operators import gate, generator, measure, physical
-from gramward.plans import analytics, cover, store
+from gramward.plans import analytics, cover, loader, store
 from gramward.sources import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +53,7 @@ _predicate("pred_multi_duplicate", "documents", "doc_id", "text", "text LIKE '%s
 _predicate("pred_contains_any", "documents", "doc_id", "text", "contains(text, 'ung') OR contains(text, 'eau')", "contains_any", "ung", "eau")
 _predicate("pred_any_k16", "documents", "doc_id", "text", " OR ".join(f"contains(text, '{n}')" for n in _SIXTEEN), "contains_any", *_SIXTEEN)
 _predicate("pred_metachar", "documents", "doc_id", "text", "contains(text, '%') OR contains(text, '_') OR contains(text, chr(92))", "contains_any", "%", "_", "\\")
-_predicate("pred_metachar_multi", "pages", "page_id", "url", "url LIKE '%?%=%' OR url LIKE '%zz!_%' ESCAPE '!'", "multi_contains", "?", "=")
+_predicate("pred_metachar_multi", "documents", "doc_id", "text", "text LIKE '%!%%!%%' ESCAPE '!'", "multi_contains", "%", "%")
 _predicate("pred_json_props", "events", "event_id", "props", "props LIKE '%\"k\"%7%'", "multi_contains", '"k"', "7")
 
 
@@ -170,14 +175,10 @@ _NEEDLE = "tion"
 _PF = """SELECT '{kernel}' AS kernel, count(url) AS n_rows, count(*) FILTER (WHERE {c}) AS survivors, count(*) FILTER (WHERE contains(url, 'tion')) AS matches,
     1 - count(*) FILTER (WHERE {c}) / count(url) AS prune_rate,
     (count(*) FILTER (WHERE {c}) - count(*) FILTER (WHERE contains(url, 'tion'))) / nullif(count(*) FILTER (WHERE {c}), 0) AS fp_rate FROM pages"""
-for _kernel, _condition in {
-    "tail_code": "contains(url, 'tion')", "none": "strlen(url) >= 4", "first_byte": "url LIKE '%t___%'", "rare_byte": "url LIKE '%__o_%' OR false",
-    "first_last": "url LIKE '%t__n%'", "rare_pair": "url LIKE '%_io_%' OR false",
+for _kernel, _condition in {  # 'tion': its rarest byte is o, then n, as the commonness of t, i, o, n is 900, 700, 750, 670
+    "tail_code": "contains(url, 'tion')", "none": "strlen(url) >= 4", "first_byte": "url LIKE '%t___%'", "rare_byte": "url LIKE '%___n%'",
+    "first_last": "url LIKE '%t__n%'", "rare_pair": "url LIKE '%_i_n%'",
 }.items():
-    if _kernel in ("rare_byte", "rare_pair"):  # the offsets follow from the table of commonness
-        _at = prefilters.rare_offsets(_NEEDLE.encode())
-        _shown = {_at[0]} if _kernel == "rare_byte" else set(_at)
-        _condition = "url LIKE '%" + "".join(ch if k in _shown else "_" for k, ch in enumerate(_NEEDLE)) + "%'"
     register(f"pf_{_kernel}", "pages", _PF.format(kernel=_kernel, c=_condition))(
         lambda t, kernel=_kernel: prefilters.attribution(t, "url", _NEEDLE.encode(), kernel)
     )
@@ -217,24 +218,35 @@ def _(t: DataFrame) -> DataFrame:
     return found.join(exact, "doc_id", "full").agg(F.count("c").alias("candidates"), F.count("m").alias("matches"), F.count_if(F.col("c").isNull()).alias("missed"))
 
 
-#: Words with the needle that a minimum cut is computed over; beyond, every row is tested.
-CUT_WORDS = 4096
+#: Tokens that a minimum cut is computed over; beyond, every row is tested.
+CUT_TOKENS = 4096
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A minimum cut over the distinct words of p_name that hold the needle, then rows that hold one of its tokens."""
+    """A needle that reaches over tokens: a minimum cut over those that can hold a part of it, rows that hold one of the cut, then verified.
+
+    Tokens are the words of p_name with the space before them, but for the first. Those that can lie over the needle hold it, lie within it, or
+    overlap it at an end.
+    """
     rows = _table(spark, sf_dir, "part")
-    needle = "alm"  # without a space, so that every match lies within a word
-    words = physical.token_index(rows, "p_partkey", "p_name").where(F.contains(F.col("token"), F.lit(needle))).groupBy("token").agg(F.sum("n").alias("n"))
-    found = {r["token"]: r["n"] for r in words.limit(CUT_WORDS + 1).collect()}
-    if len(found) > CUT_WORDS:
-        return physical.direct(rows, "p_name", query("contains", needle)).select("p_partkey")
+    needle = "ot r"
+    tokens = F.filter(F.split(F.regexp_replace("p_name", " ", "\u0001 "), "\u0001"), lambda x: x != "")
+    token = F.col("token")
+    ends = [F.startswith(token, F.lit(needle[k:])) for k in range(1, len(needle))] + [F.endswith(token, F.lit(needle[:k])) for k in range(1, len(needle))]
+    part = reduce(Column.__or__, [F.contains(token, F.lit(needle)), F.contains(F.lit(needle), token), *ends])
+    counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(part)
+    found = {r["token"]: r["n"] for r in counts.limit(CUT_TOKENS + 1).collect()}
+    whole = physical.direct(rows, "p_name", query("contains", needle))
+    if len(found) > CUT_TOKENS:
+        return whole.select("p_partkey")
     chosen = cover.cover(needle, found)
-    return rows.where(F.arrays_overlap(F.split("p_name", " "), F.lit(sorted(chosen)) if chosen else F.array().cast("array<string>"))).select("p_partkey")
+    if not chosen:
+        return whole.where(F.lit(False)).select("p_partkey")
+    return whole.where(F.arrays_overlap(tokens, F.lit(sorted(chosen)))).select("p_partkey")
 
 
 QUERIES["cover_min_cut"] = _cut
-ORACLES["cover_min_cut"] = "SELECT p_partkey FROM part WHERE contains(p_name, 'alm')"
+ORACLES["cover_min_cut"] = "SELECT p_partkey FROM part WHERE contains(p_name, 'ot r')"
 
 # Generator.
 QUERIES["gen_grid"] = lambda spark, sf_dir: generator.grid_frame(spark).groupBy("op").agg(F.count("*").alias("points"), F.sum("replicates").cast("long").alias("targets"))
@@ -249,7 +261,9 @@ register("gen_probe", "documents", f"""WITH n(needle) AS (VALUES {", ".join(f"('
 )
 register("gen_estimate", "documents", f"""WITH n(needle) AS (VALUES {", ".join(f"('{n}')" for n in _PROBES)})
     SELECT needle, count(*) FILTER (WHERE contains(text, needle)) AS match_count, count(*) FILTER (WHERE contains(text, needle)) / count(text) AS selectivity
-    FROM n, documents WHERE doc_id % 7 = 0 GROUP BY needle""")(lambda t: generator.probe(t, "text", _PROBES, stride=7, id_column="doc_id"))
+    FROM n, documents WHERE doc_id % greatest(1, ceil((SELECT count(*) FROM documents) / 65536))::BIGINT = 0 GROUP BY needle""")(
+    lambda t: generator.probe(t, "text", _PROBES, stride=max(1, -(-t.count() // generator.SAMPLE_ROWS)), id_column="doc_id")
+)
 register("gen_eligible", "pages", " UNION ALL ".join(f"SELECT {n} AS length, count(*) FILTER (WHERE strlen(url) >= {n}) AS n FROM pages" for n in (8, 16, 32, 64)))(
     lambda t: generator.eligible(t, "url", (8, 16, 32, 64))
 )
@@ -396,12 +410,212 @@ analysis("an_generic_bin", """, e AS (SELECT min(median_ns) AS lo, max(median_ns
     lambda f: analytics.equal_bins(f, "median_ns", "n_values", 20)
 )
 analysis("an_upper_median", "SELECT system, list_sort(list(median_ns))[len(list(median_ns)) // 2 + 1] AS upper FROM f GROUP BY system")(
-    lambda f: f.groupBy("system").agg(analytics.upper_median("median_ns").alias("upper"))
+    lambda f: f.groupBy("system").agg(analytics.upper_median("median_ns").cast("long").alias("upper"))
 )
 analysis("an_candidate_matrix", "SELECT system, array_to_string(list_sort(list(DISTINCT run_dir)), ',') AS runs, count(*) AS n, max(raw_bytes / footprint_bytes) AS best_ratio FROM f GROUP BY system")(
     lambda f: f.groupBy("system").agg(F.array_join(F.sort_array(F.collect_set("run_dir")), ",").alias("runs"), F.count("*").alias("n"), F.max(F.col("raw_bytes") / F.col("footprint_bytes")).alias("best_ratio"))
 )
 
+# More of the store: keys, labels, needles, runs; and more analyses.
+analysis("store_labels", """SELECT event_id, system || '/' || CASE WHEN event_id % 2 = 0 THEN 'direct' ELSE 'decode' END || CASE WHEN event_id % 3 = 0 THEN '' ELSE '+scan' || (event_id % 3) END
+    || CASE WHEN event_id % 5 = 0 THEN '' ELSE '@bits=' || (event_id % 5) || ',level=' || needle_len END AS label FROM f""")(
+    lambda f: f.select("event_id", "system", F.when(F.col("event_id") % 2 == 0, "direct").otherwise("decode").alias("strategy"),
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("scan"), F.col("event_id") % 3)).alias("scanner"),
+        F.when(F.col("event_id") % 5 == 0, F.create_map().cast("map<string,string>")).otherwise(
+            F.create_map(F.lit("level"), F.col("needle_len").cast("string"), F.lit("bits"), (F.col("event_id") % 5).cast("string"))).alias("config"),
+    ).select("event_id", store.label("system", "strategy", "scanner", "config").alias("label"))
+)
+analysis("store_gate_ok", """SELECT event_id, coalesce(status = 'ok' AND event_id % 7 = CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_part END AND n_values = eval_domain * 10, false) AS gate_ok
+    FROM (SELECT *, event_id % 7 AS user_part FROM f)""")(
+    lambda f: f.select("event_id", "status", (F.col("event_id") % 7).cast("string").alias("h"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 7).cast("string")).alias("th"),
+        (F.col("eval_domain") * 10).alias("tc"), F.col("n_values").alias("c")).select("event_id", store.gate_ok("status", "th", "h", "tc", "c").alias("gate_ok"))
+)
+
+
+@register("store_needles", "documents", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '\\xC3' ELSE substr(text, 1, 4) END || ' | ' || substr(text, 5, 2) AS needles, doc_id % 4 <> 0 AS is_text
+    FROM documents WHERE length(text) >= 6""")
+def _(t: DataFrame) -> DataFrame:
+    needles = F.array(F.when(F.col("doc_id") % 4 == 0, F.lit(bytearray(b"\xc3"))).otherwise(F.encode(F.substring("text", 1, 4), "UTF-8")), F.encode(F.substring("text", 5, 2), "UTF-8"))
+    rows = t.where(F.length("text") >= 6).select("doc_id", needles.alias("n"))
+    return rows.select("doc_id", store.needle_text(F.col("n")).alias("needles"), store.is_text(F.col("n")).alias("is_text"))
+
+
+analysis("store_spec_key", "SELECT DISTINCT substr(sha256(array_to_string(list_sort([system, run_dir]), ',') || '|' || array_to_string(list_sort([host, 'a']), ',')), 1, 16) AS spec_key FROM f")(
+    lambda f: f.select(F.array("system", "run_dir").alias("a"), F.array("host", F.lit("a")).alias("b")).select(store.spec_key("a", "b").alias("spec_key")).distinct()
+)
+analysis("store_view_domain", """SELECT event_id, eval_domain_matches / eval_domain AS selectivity_domain, raw_bytes / median_ns AS gbps_raw, system, host, run_dir, 'd' || bucket AS dataset
+    FROM (SELECT *, eval_domain // 7 AS eval_domain_matches, needle_len % 3 AS bucket FROM f)""")(
+    lambda f: _five_dimensions(f.withColumns({"eval_domain_matches": F.floor(F.col("eval_domain") / 7), "dataset": F.concat(F.lit("d"), F.col("needle_len") % 3)}))
+)
+
+
+def _five_dimensions(f: DataFrame) -> DataFrame:
+    parts = {"system": ["system"], "platform": ["host"], "run": ["run_dir", "started_at"], "dataset": ["dataset"], "query": ["needle_len", "selectivity"]}
+    keyed = f.withColumns({f"{n}_key": store.natural_key(*c) for n, c in parts.items()})
+    plain = keyed.drop(*[c for cs in parts.values() for c in cs])
+    whole = store.view(plain, *[(store.dimension(f, n, *c), f"{n}_key") for n, c in parts.items()])
+    return whole.select("event_id", "selectivity_domain", "gbps_raw", "system", "host", "run_dir", "dataset")
+
+
+analysis("store_runs_with_results", "SELECT DISTINCT run_dir || '|' || started_at AS run_key, started_at FROM f WHERE status = 'ok' AND needle_len < 9")(
+    lambda f: loader.with_results(
+        f.select(store.natural_key("run_dir", "started_at").alias("run_key"), "started_at").distinct(),
+        f.where(_ok() & (F.col("needle_len") < 9)).select(store.natural_key("run_dir", "started_at").alias("run_key")),
+    )
+)
+analysis("store_run_platform", "SELECT DISTINCT run_dir, host || '|linux|x86|-|' || length(host) AS platform_key, length(host)::BIGINT AS cores FROM f")(
+    lambda f: loader.with_platform(
+        f.select("run_dir", F.concat_ws("|", "host", F.lit("linux"), F.lit("x86"), F.lit("-"), F.length("host")).alias("platform_key")).distinct(),
+        f.select("host", F.lit("linux").alias("os"), F.lit("x86").alias("arch"), F.lit(None).cast("string").alias("cpu"), F.length("host").cast("long").alias("cores")).distinct()
+        .select(store.natural_key("host", "os", "arch", "cpu", "cores").alias("platform_key"), "cores"),
+    ).select("run_dir", "platform_key", "cores")
+)
+analysis("store_one_suite", "SELECT DISTINCT system AS dataset, 'suite-' || system AS suite FROM f")(
+    lambda f: loader.single_suites(f.select(F.col("system").alias("dataset"), F.concat(F.lit("suite-"), "system").alias("suite")))
+)
+analysis("store_seconds", """SELECT event_id, (epoch(('2026-01-0' || (1 + event_id % 9) || 'T10:00:00+02:00')::TIMESTAMPTZ) - epoch('2026-01-01T00:00:00Z'::TIMESTAMPTZ))::BIGINT AS seconds FROM f""")(
+    lambda f: f.select("event_id", loader.seconds_between(F.lit("2026-01-01T00:00:00Z"), F.concat(F.lit("2026-01-0"), 1 + F.col("event_id") % 9, F.lit("T10:00:00+02:00"))).alias("seconds"))
+)
+analysis("an_single_shot", "SELECT system, median(v) AS median_ns FROM (SELECT system, run_dir, max(median_ns) AS v FROM f GROUP BY ALL) GROUP BY system")(
+    lambda f: analytics.single_shot(f, ["system"], ["run_dir"], "median_ns", ["system"])
+)
+for _how, _sql in {"mean": "avg(median_ns)", "median": "median(median_ns)"}.items():
+    analysis(f"an_collapse_{_how}", f"SELECT system, needle_len, {_sql} AS median_ns FROM f GROUP BY ALL")(lambda f, how=_how: analytics.collapse(f, "needle_len", "median_ns", how, "system"))
+analysis("an_collapse_none", "SELECT system, needle_len, median_ns FROM f")(lambda f: analytics.collapse(f, "needle_len", "median_ns", "none", "system"))
+analysis("an_compression", """SELECT system, sum(raw_bytes) / sum(footprint_bytes) AS ratio_total, sum(raw_bytes) / sum(footprint_bytes - 800) AS ratio_payload,
+    sum(raw_bytes) * 1000 / nullif(sum(median_ns), 0) AS build_mb_s, sum(raw_bytes) * 1000 / nullif(sum(n_values), 0) AS decode_mb_s FROM f GROUP BY system""")(
+    lambda f: analytics.compression(f.withColumns({"payload_bytes": F.col("footprint_bytes") - 800, "build_ns": F.col("median_ns"), "decode_ns": F.col("n_values")}), "system")
+)
+analysis("an_default_chunk", "SELECT CASE WHEN min(c) = 0 THEN 0 ELSE min(c) END::BIGINT AS chunk FROM (SELECT event_id % 5 * 64 AS c FROM f)")(
+    lambda f: analytics.default_chunk(f.select((F.col("event_id") % 5 * 64).alias("chunk")), "chunk")
+)
+analysis("an_decode_speed", "SELECT event_id, (raw_bytes / median_ns) * median_ns / nullif(event_id % 6, 0) AS decode_gbps FROM f")(
+    lambda f: analytics.decode_speed(f.withColumns({"gbps": F.col("raw_bytes") / F.col("median_ns"), "decode_ns": F.col("event_id") % 6}), "gbps", "median_ns", "decode_ns").select("event_id", "decode_gbps")
+)
+analysis("an_takeaways", f""", {_MEDIANS}, r AS (SELECT a.system, a.median / b.median AS ratio FROM m a JOIN m b ON a.needle_len = b.needle_len AND b.system = 'view' AND a.system <> 'view')
+    SELECT system, count(*) FILTER (WHERE ratio < 0.95) AS wins, count(*) FILTER (WHERE abs(ratio - 1) <= 0.05) AS ties, count(*) FILTER (WHERE ratio > 1.05) AS losses,
+    median(1 / ratio) AS median_speedup, max(1 / ratio) AS best_speedup FROM r GROUP BY system""")(
+    lambda f: analytics.takeaways(f, ["needle_len"], "system", "median_ns", "view")
+)
+analysis("an_decade_filled", """, b AS (SELECT floor(log10(n_values * n_values * n_values) * 3)::BIGINT AS bin, count(*) AS n, quantile_cont(median_ns, 0.25) AS q25, quantile_cont(median_ns, 0.5) AS q50,
+    quantile_cont(median_ns, 0.75) AS q75 FROM f GROUP BY 1), e AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM b)
+    SELECT e.bin, coalesce(n, 0) AS n, q25, q50, q75, pow(10.0, (e.bin + 0.5) / 3) AS center, pow(10.0, e.bin / 3) AS low, pow(10.0, (e.bin + 1) / 3) AS high FROM e LEFT JOIN b ON b.bin = e.bin""")(
+    lambda f: analytics.decade_bins(f.withColumn("cube", F.col("n_values") * F.col("n_values") * F.col("n_values")), "cube", "median_ns", filled=True)
+)
+analysis("an_log_bin", """, e AS (SELECT min(log10(median_ns)) AS lo, max(log10(median_ns)) AS hi FROM f)
+    SELECT least(floor((log10(median_ns) - lo) / (hi - lo) * 20), 19)::BIGINT AS bin, count(*) AS n, median(median_ns) AS x, median(n_values) AS y FROM f, e GROUP BY 1""")(
+    lambda f: analytics.equal_bins(f, "median_ns", "n_values", 20, log=True)
+)
+analysis("an_any_value", "SELECT host, max(system) AS system, count(*) AS n FROM f WHERE system = 'view' GROUP BY host")(
+    lambda f: f.where("system = 'view'").groupBy("host").agg(F.any_value("system").alias("system"), F.count("*").alias("n"))
+)
+analysis("an_numeric_order", "SELECT row_number() OVER (ORDER BY try_cast(k AS DOUBLE) NULLS LAST, k)::INT AS place, k FROM (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN system ELSE (event_id % 12)::VARCHAR END AS k FROM f)")(
+    lambda f: _placed(f.select(F.when(F.col("event_id") % 3 == 0, F.col("system")).otherwise((F.col("event_id") % 12).cast("string")).alias("k")).distinct())
+)
+analysis("an_dataset_union", "SELECT run_dir AS id FROM f UNION SELECT host FROM f")(lambda f: f.select(F.col("run_dir").alias("id")).union(f.select("host")).distinct())
+
+
+def _placed(keys: DataFrame) -> DataFrame:
+    """Few names in their order: those of series, not of rows."""
+    return keys.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*analytics.numeric_first("k")))).select("place", "k")
+
+
+# Composed plans of the registry, each by the same SQL.
+_ANY9 = ["example", "/de/", "feed", "blog.", "?id", "shop", "news", "xyz", "utm"]
+_ANY9_SQL = "SELECT page_id FROM pages WHERE " + " OR ".join(f"contains(url, '{n}')" for n in _ANY9)
+for _label in ("uncompressed/direct+prefilter", "uncompressed_prefilter/prefilter", "dict_uncompressed_prefilter/dict+prefilter", "dict_decode_prefilter/dict+decode+prefilter", "gram_prefilter/gram-prefilter", "dict_gram_prefilter/dict+gram-prefilter", "uncompressed/direct+teddy", "uncompressed/direct+aho_corasick", "token_automaton/compressed"):
+    register("plan_" + re.sub(r"\W+", "_", _label), "pages", _ANY9_SQL)(lambda t, label=_label: registry.system(label).run(t, "page_id", "url", query("contains_any", *_ANY9)).select("page_id"))
+for _label in ("dict_like/dict+like", "dict_contains/dict+contains", "token_cover/cover", "like/interp", "like_contains/interp", "uncompressed/direct+bndm", "uncompressed/direct+kmp", "uncompressed/direct+bmh", "uncompressed/direct+libc-memmem", "uncompressed/direct+stringzilla", "uncompressed/direct+pf-rare-pair", "decode_prefilter/decode+prefilter"):
+    register("plan_" + re.sub(r"\W+", "_", _label), "documents", "SELECT doc_id FROM documents WHERE contains(text, 'tion the')")(
+        lambda t, label=_label: registry.system(label).run(t, "doc_id", "text", query("contains", "tion the")).select("doc_id")
+    )
+register("pf_any_pairs", "pages", """SELECT sum(a + CASE WHEN ha THEN 0 ELSE b + CASE WHEN hb THEN 0 ELSE c END END)::BIGINT AS candidates FROM (
+    SELECT contains(url, 'mple')::INT AS a, contains(url, '/de/')::INT AS b, contains(url, 'feed')::INT AS c, contains(url, 'example') AS ha, contains(url, '/de/') AS hb FROM pages)""")(
+    lambda t: t.agg(F.sum(prefilters.pairs_tested(F.col("url"), query("contains_any", "example", "/de/", "source=feed"))).alias("candidates"))
+)
+register("pf_any_grouped", "documents", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(text, '{n}')" for n in _SIXTEEN))(
+    lambda t: t.where(physical.grouped_any(F.col("text"), query("contains_any", *_SIXTEEN))).select("doc_id")
+)
+_PROBE_QUERIES = [query("prefix", "http", id="prefix"), query("suffix", "e", id="suffix"), query("contains", "tion", id="contains"), query("contains", "x" * 70, id="long"), query("multi_contains", "a", "b", id="multi"), query("contains_any", "a", "b", id="any"), query("contains_any", "a", "", id="any_empty")]
+#: Which queries each scanner takes, stated for the oracle apart from the registry.
+_TAKES = {"memmem": "1111111", "memmem-hay": "0011000", "std_find": "1111111", "prefilter": "0011011", "bndm": "1110000", "kmp": "1111000", "bmh": "1111000", "aho_corasick": "0011011", "teddy": "0011010", "libc-memmem": "1111000",
+    "stringzilla": "1111000", "pf-none": "0011000", "pf-first-byte": "0011000", "pf-rare-byte": "0011000", "pf-first-last": "0011000", "pf-rare-pair": "0011000"}
+QUERIES["registry_support"] = lambda spark, sf_dir: spark.createDataFrame(
+    [(s.name, q.id, s.reason(q) is None) for s in registry.SCANNERS.values() for q in _PROBE_QUERIES], "scanner string, query_id string, supported boolean")
+ORACLES["registry_support"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{q.id}', {'true' if bit == '1' else 'false'})" for s, bits in _TAKES.items() for q, bit in zip(_PROBE_QUERIES, bits, strict=True)) + ") t(scanner, query_id, supported)"
+QUERIES["registry_systems"] = lambda spark, sf_dir: spark.createDataFrame([(s.scheme.name, s.strategy) for s in registry.systems()], "scheme string, strategy string").groupBy("scheme", "strategy").agg(F.count("*").alias("n"))
+ORACLES["registry_systems"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {n}::BIGINT)" for a, b, n in (
+    ("uncompressed", "direct", 16), ("uncompressed_memmem", "memmem", 1), ("uncompressed_prefilter", "prefilter", 1), ("dict_uncompressed_prefilter", "dict+prefilter", 1), ("dict_like", "dict+like", 1),
+    ("decode_prefilter", "decode+prefilter", 1), ("dict_decode_prefilter", "dict+decode+prefilter", 1), ("gram_prefilter", "gram-prefilter", 1), ("dict_gram_prefilter", "dict+gram-prefilter", 1), ("dict_contains", "dict+contains", 1),
+    ("token_automaton", "compressed", 1), ("token_automaton", "decode", 16), ("token_cover", "cover", 1), ("like", "interp", 1), ("like_contains", "interp", 1), ("identity", "decode", 16), ("lz4", "decode", 16), ("zstd", "decode", 16),
+    ("gate_canary", "ok", 1), ("gate_canary", "wrong", 1))) + ") t(scheme, strategy, n)"
+register("token_places", "documents", """WITH t AS (SELECT unnest(string_split(text, ' ')) AS token, doc_id FROM documents), c AS (
+    SELECT token, count(*) AS term_freq, count(DISTINCT doc_id) AS row_freq FROM t WHERE token <> '' GROUP BY token),
+    p AS (SELECT token, term_freq, row_freq, coalesce(sum(term_freq) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM c)
+    SELECT * FROM p WHERE row_freq >= 20""")(lambda t: physical.token_statistics(t, "doc_id", "text").where("row_freq >= 20"))
+register("gate_explain", "documents", """SELECT count(*) FILTER (WHERE m) AS expected, count(*) FILTER (WHERE m <> (doc_id = 0)) AS actual, 0::BIGINT AS first_divergent, false AS gate_ok,
+    (SELECT substr(text, 1, 40) FROM documents WHERE doc_id = 0) AS divergent_text FROM (SELECT doc_id, contains(text, 'the') AS m FROM documents)""")(
+    lambda t: gate.explain(physical.direct(t, "text", _THE), gate.canary(t, "doc_id", "text", _THE), t, "doc_id", "text").withColumn("divergent_text", F.substring("divergent_text", 1, 40))
+)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder where all executors write: that of spark.checkpoint.dir; the driver's own only where a local master has none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gramward-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _codec(codec: str, level: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: physical.codec_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url"), _scratch(spark, codec), codec, level)
+
+
+for _name, _codec_name, _level in (("codec_roundtrip", "zstd", 3), ("codec_roundtrip_lz4", "lz4_raw", None), ("codec_roundtrip_none", "none", None)):
+    QUERIES[_name] = _codec(_codec_name, _level)
+    ORACLES[_name] = "SELECT page_id, url FROM pages"
+
+
+def _csv_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_name through CSV and back; every seventh empty, which stays empty and is no null."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.concat(F.lit('a,"b" '), "p_name")).alias("p_name"))
+    folder = _scratch(spark, "csv")
+    rows.select("p_name").write.option("header", True).option("escape", '"').option("emptyValue", "").option("quoteAll", True).csv(folder)
+    return columns.read_delimited(spark, folder, "p_name").groupBy("data").agg(F.count("*").alias("n"))
+
+
+QUERIES["ingest_csv_like"] = _csv_like
+ORACLES["ingest_csv_like"] = """SELECT CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'a,"b" ' || p_name END AS data, count(*) AS n FROM part GROUP BY 1"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a column numbered from 0 without gaps, in order of the text: their number, least, largest and how many differ."""
+    rows = columns.ingest(_table(spark, sf_dir, "pages").select(F.col("url").alias("data")), F.col("data"))
+    return rows.agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"), F.min_by("data", "row_id").alias("first"))
+
+
+QUERIES["ingest_numbered"] = _numbered
+ORACLES["ingest_numbered"] = "SELECT count(url) AS n, 0::BIGINT AS low, count(url) - 1 AS high, count(url) AS ids, min(url) AS first FROM pages"
+
+
+def _extracted(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Lines written as gzip text, then read by a source."""
+    folder = _scratch(spark, name)
+    rows.write.option("compression", "gzip").text(folder)
+    return read(folder).groupBy("data").agg(F.count("*").alias("n"))
+
+
+QUERIES["extract_jsonl_source"] = lambda spark, sf_dir: _extracted(
+    spark, sf_dir, "jsonl", _table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, "{bad").otherwise(F.to_json(F.struct(F.concat(F.lit(" "), "event_type").alias("t")))).alias("value")),
+    lambda folder: columns.extract_json_field(spark, folder, "t"))
+ORACLES["extract_jsonl_source"] = "SELECT event_type AS data, count(*) AS n FROM events WHERE event_id % 11 <> 0 GROUP BY 1"
+QUERIES["extract_tsv_source"] = lambda spark, sf_dir: _extracted(
+    spark, sf_dir, "tsv", _table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\t "), "url").alias("value")), lambda folder: columns.extract_tsv_field(spark, folder, 1, "https://"))
+ORACLES["extract_tsv_source"] = "SELECT url AS data, count(*) AS n FROM pages WHERE starts_with(url, 'https://') GROUP BY 1"
+
 # Extraction.
 register("extract_json_field", "events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(
     lambda t: t.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -74,8 +74,9 @@ def view(fact: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFrame:
     out = fact
     for rows, key in dimensions:
         out = out.join(rows, key)
-    return out.withColumns({
+    domain = {"selectivity_domain": F.col("eval_domain_matches") / F.col("eval_domain")} if "eval_domain_matches" in out.columns else {}
+    return out.withColumns(domain | {
         "ns_per_value": F.col("median_ns") / F.col("n_values"), "ns_per_domain_value": F.col("median_ns") / F.coalesce("eval_domain", "n_values"),
-        "dedup_factor": F.col("n_values") / F.coalesce("eval_domain", "n_values"), "selectivity_domain": F.col("eval_domain_matches") / F.col("eval_domain"),
+        "dedup_factor": F.col("n_values") / F.coalesce("eval_domain", "n_values"),
         "gbps_raw": F.col("raw_bytes") / F.col("median_ns"), "compression_ratio": F.col("raw_bytes") / F.col("footprint_bytes"),
     })

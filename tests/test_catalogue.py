@@ -51,9 +51,9 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("most", [4096, 3])
 def test_minimum_cut_loses_no_rows(spark, tmp_path, monkeypatch, most):
-    """Thousands of other words that end in "a" crowd out none with the needle, nor does a bound on these."""
-    monkeypatch.setattr(catalogue, "CUT_WORDS", most, raising=False)
-    rows = [(k, f"w{k}a b{k}al") for k in range(6000)] + [(10_000 + k, f"x{k}alm y") for k in range(200)]
+    """Thousands of other tokens that end in "t" or begin with "r" crowd out none, nor does a bound on them; matches within a token and over several."""
+    monkeypatch.setattr(catalogue, "CUT_TOKENS", most)
+    rows = [(k, f"w{k}t rb{k}ot") for k in range(3000)] + [(10_000 + k, f"x{k}ot r{k} y") for k in range(200)] + [(20_000, "ot r"), (20_001, "ot  r"), (20_002, None), (20_003, "")]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     found = sorted(r[0] for r in catalogue.QUERIES["cover_min_cut"](spark, str(tmp_path)).collect())
-    assert found == [10_000 + k for k in range(200)]
+    assert found == [*range(10_000, 10_200), 20_000]

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gramward.functions import prefilters, truth
+from gramward.functions import prefilters, registry, truth
 from gramward.functions.predicates import matches, query
+from gramward.functions.truth import row_matches
 from gramward.operators import gate, physical
 from gramward.plans import cover
 from tests.fixture_rows import CHECKSUM, GOLDEN, golden_rows
@@ -85,3 +86,42 @@ def test_cover_is_sound():
         row = [draw.choice(list(tokens)) for _ in range(5)]
         assert "abcd" not in "".join(row) or found & set(row)
     assert cover.cover("zzz", tokens) == set()
+
+
+QUERIES = [
+    query("prefix", "http", id="prefix"), query("suffix", ".html", id="suffix"), query("contains", "google", id="contains"), query("contains", "x" * 70, id="long"),
+    query("multi_contains", "http", "com", id="multi"), query("contains_any", "google", "yandex", "q.php", id="any"), query("contains_any", "google", "", id="any_empty"), query("contains", "", id="empty"),
+]
+
+
+def test_every_system_agrees_or_declines(spark):
+    """All that the registry composes to, against the trust root; outside an envelope it says why."""
+    rows = golden_rows()
+    text = spark.createDataFrame([(k, r.decode()) for k, r in enumerate(rows)], "row_id long, data string").cache()
+    seen = set()
+    for system in registry.systems(scanners=["memmem", "prefilter", "bndm", "teddy", "pf-rare-pair"]):
+        if system.scheme.name in ("identity", "lz4", "zstd", "broken", "absent", "raises") or system.label == "gate_canary/wrong":
+            continue
+        for q in QUERIES:
+            if system.reason(q):
+                with pytest.raises(NotImplementedError):
+                    system.run(text, "row_id", "data", q)
+            elif (system.label, q.op) not in seen or q.id in ("any_empty", "long"):
+                seen.add((system.label, q.op))
+                found = sorted(r[0] for r in system.run(text, "row_id", "data", q).select("row_id").collect())
+                assert found == [k for k, r in enumerate(rows) if row_matches(q, r)], (system.label, q.id)
+    assert registry.system("uncompressed/direct+teddy").reason(QUERIES[6]) == "empty needle" and registry.system("uncompressed/direct+bndm").reason(QUERIES[3])
+    assert len(registry.support_rows(QUERIES)) == len(QUERIES) * len(registry.systems())
+    for label in ("nothing/direct", "uncompressed/decode", "uncompressed/direct+nothing"):
+        with pytest.raises(ValueError):
+            registry.system(label)
+    with pytest.raises(ValueError):
+        registry.add(registry.SCANNERS["memmem"])
+
+
+def test_bitmap_hash_of_words_in_order():
+    ids = [0, 63, 64, 700, 701, 8000]
+    state = truth.Bitmap(9000)
+    for word in sorted({k // 64 for k in ids}):
+        state.add(word, sum(1 << k % 64 for k in ids if k // 64 == word))
+    assert state.digest() == truth.bitmap_hash(ids, 9000) and truth.Bitmap(9000).digest() == truth.bitmap_hash([], 9000)

@@ -1,9 +1,15 @@
+import gzip
+import hashlib
+import io
 import json
+import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from gramward.functions.truth import column_checksum
+from gramward.functions.predicates import query
+from gramward.functions.truth import column_checksum, row_matches
 from gramward.operators import generator
 from gramward.plans import store
 from gramward.sources import columns
@@ -43,6 +49,85 @@ def test_extractors(spark, tmp_path):
     assert [r[0] for r in columns.extract_xml_element(spark, str(tmp_path / "a.xml"), "d", "abstract").collect()] == ["hi"]
 
 
+def test_tar_and_gzip_sources(spark, tmp_path):
+    """Every .tsv member of archives; lines of gzip files; literals in the order of the file, up to a count."""
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        for name, body in (("x/one.tsv", "1\ta \n2\t\nshort\n"), ("two.tsv", "3\tb"), ("no.txt", "4\tc")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            archive.addfile(info, io.BytesIO(body.encode()))
+    assert sorted(r[0] for r in columns.extract_tar_tsv(spark, str(tmp_path / "a.tar.gz"), 1).collect()) == ["a", "b"]
+    with gzip.open(tmp_path / "a.tsv.gz", "wt") as file:
+        file.write("1\thttps://a\n2\thttp://b\n")
+    assert [r[0] for r in columns.extract_tsv_field(spark, str(tmp_path / "a.tsv.gz"), 1, "https").collect()] == ["https://a"]
+    with gzip.open(tmp_path / "a.nt.gz", "wt") as file:
+        file.write("".join(f'<s> <p> "t{k}"@en .\n' for k in range(50)))
+    assert [r[0] for r in columns.extract_english_literals(spark, str(tmp_path / "a.nt.gz"), 3).collect()] == ["t0", "t1", "t2"]
+
+
+def test_written_columns_are_checked(spark, tmp_path):
+    rows = columns.ingest(spark.createDataFrame([("b",), (None,), ("",)], "data string").repartition(3), F.col("data"))
+    columns.write_column(rows, str(tmp_path), "few", {})
+    assert columns.load_column(spark, str(tmp_path), verify=True)[0].count() == 2
+    manifest = json.loads((tmp_path / "manifest.json").read_text())
+    for change in ({"num_rows": 3}, {"payload_bytes": 9}, {"checksum": "xxh3:0"}):
+        (tmp_path / "manifest.json").write_text(json.dumps(manifest | change))
+        with pytest.raises(ValueError):
+            columns.load_column(spark, str(tmp_path), verify=True)
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "f").write_bytes(b"x")
+    columns.check_files(spark, str(tmp_path / "raw"), {"f": hashlib.sha256(b"x").hexdigest()})
+    with pytest.raises(ValueError, match="'f'"):
+        columns.check_files(spark, str(tmp_path / "raw"), {"f": "0"})
+
+
+def test_result_lines(spark, tmp_path):
+    path = str(tmp_path / "r.jsonl")
+    (tmp_path / "r.jsonl").write_text('{"k": "a", "v": 1}\n\n{"k": "b"\n{"k": "c", "v": 3, "more": 1}\n')
+    with pytest.warns(UserWarning, match="1 malformed"):
+        assert sorted(map(tuple, columns.read_results(spark, path, "k string, v int").collect())) == [("a", 1), ("c", 3)]
+    with pytest.raises(ValueError, match="line 3"):
+        columns.read_results(spark, path, "k string, v int", strict=True)
+
+
+def test_tables_of_any_kind(spark, tmp_path):
+    rows = [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
+    for name, text in (("t.csv", "a,b\n1,x\n2,y\n"), ("t.jsonl", "\n".join(map(json.dumps, rows))), ("list.json", json.dumps(rows)), ("t.json", json.dumps({"rows": rows}))):
+        (tmp_path / name).write_text(text)
+        assert sorted((r.a, r.b) for r in columns.read_table(spark, str(tmp_path / name)).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_workload_against_plain_python(spark):
+    """Each query's count by the trust root, its band, no two alike, and the report's sums; the same at any partitioning."""
+    draw = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "http://", "zeta", "x", "yy"]
+    texts = ["/".join(draw.choice(words) for _ in range(draw.randint(1, 14))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "row_id long, data string")
+    made, report = generator.workload(table.repartition(3), "row_id", "data", quick=True)
+    assert made == generator.workload(table.repartition(2), "row_id", "data", quick=True)[0] and len(made) > 40
+    for m in made:
+        q = query(m.point.op, *m.needles)
+        assert m.match_count == sum(row_matches(q, t.encode()) for t in texts) and generator.accepts(m.point.band, m.match_count / 400)
+        assert sum(map(len, m.needles)) == (8 * m.point.k if m.point.k else m.point.length)
+    assert len({m.id for m in made}) == len(made) and {m.point.op for m in made} >= {"prefix", "suffix", "contains", "multi_contains"}
+    assert sum(r["made"] for r in report) == len(made) and all((r["status"] == "filled") == (r["reason"] is None) for r in report)
+    assert any(m.point.band == 0 for m in made)
+    bands = spark.createDataFrame([(b, e) for b in (0.0, 1e-3, 0.3) for e in (0.0, 2e-3, 0.4)], "b double, e double")
+    for b, e, p in bands.select("b", "e", generator.plausible(F.col("e"), F.col("b"))).collect():
+        assert p == generator.hopeful(b, e)
+    assert generator.workload(table.limit(0), "row_id", "data", quick=True)[0] == []
+    assert generator.report_frame(spark, report).count() == 66 and generator.generate(table, "row_id", "data", quick=True).count() == len(made)
+
+
+def test_pool_picks():
+    pool = {f"n{k:03d}": k / 1000 for k in range(200)}
+    for mix in ("balanced", "skewed"):
+        own = generator.picks(pool, generator.Point("contains_any", 0.1, 8, k=4, mix=mix), random.Random(1))
+        shares = sorted(pool[n] for n in own)
+        assert len(own) == 4 and (all(0.1 / 12 <= p <= 0.075 for p in shares) if mix == "balanced" else 0.05 <= shares[-1] <= 0.15 and shares[-2] <= 0.0025)
+    assert generator.picks({"a": 0.5}, generator.Point("contains_any", 0.1, 8, k=4, mix="balanced"), random.Random(1)) is None
+
+
 def test_grid_and_bands(spark):
     points = generator.grid()
     assert len(points) == 308 and sum(p.replicates for p in points) == 1320 and len(generator.grid(quick=True)) == 66
