@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import numbered_columns, slices
+from gramward.llm.common import materialise, numbered_columns, slices
 
 UNDETERMINED = "und"
 #: The bound of the fitted model: about so many labelled rows of each language are learned from.
@@ -36,11 +36,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """langs in alphabetical order; tables: word or n-gram -> log frequency in each of them."""
+    """langs in alphabetical order; tables of words (0) and of n-grams (by n): the entries, joined by line ends, and a row of log frequencies for each."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    tables: dict[int, tuple[str, np.ndarray]]
     ready: Scorer | None = field(default=None, repr=False)
 
     def scorer(self) -> Scorer:
@@ -62,15 +61,16 @@ def _cut(word: Column) -> Column:
     return F.concat(F.array(F.struct(F.lit(0).alias("kind"), word.alias("item"))), *map(pieces, GRAM_LENGTHS))
 
 
-def _tables(counts: DataFrame, langs: list[str]) -> dict[int, dict[str, np.ndarray]]:
+def _tables(counts: DataFrame, langs: list[str]) -> dict[int, tuple[str, np.ndarray]]:
     """Of each kind every entry, with smoothed log frequencies in all languages. What comes is bounded by the sample."""
-    frame = counts.toPandas()
-    found: dict[int, dict[str, np.ndarray]] = {}
-    for kind, part in frame.groupby("kind"):
-        items, row = np.unique(part["item"].to_numpy(object), return_inverse=True)
-        table = np.full((len(items), len(langs)), 0.5)
-        table[row, np.searchsorted(langs, part["lang"].to_numpy(str))] += part["n"].to_numpy(float)
-        found[int(kind)] = dict(zip(items, np.log(table / table.sum(0)), strict=True))
+    found: dict[int, tuple[str, np.ndarray]] = {}
+    for kind in (0, *GRAM_LENGTHS):
+        frame = counts.where(F.col("kind") == kind).select("lang", "item", "n").toPandas()
+        if len(frame):
+            codes, items = frame["item"].factorize(sort=True)
+            table = np.full((len(items), len(langs)), 0.5)
+            table[codes, np.searchsorted(langs, frame["lang"].to_numpy(str))] += frame["n"].to_numpy(float)
+            found[kind] = "\n".join(items), np.log(table / table.sum(0))
     return found
 
 
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {})
+        return Model([], {})
     within = F.lit(False)
     for lang, size in sizes.items():
         share = int(min(1.0, sample_rows / size) * 1_000_000)
@@ -93,8 +93,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count("*").alias("n"))
     cut = counts.select("lang", F.explode(_cut(F.col("item"))).alias("x"), "n").select("lang", "x.kind", "x.item", "n")
-    tables = _tables(cut.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), langs)
-    return Model(langs, tables.pop(0, {}), tables)
+    counted = materialise(cut.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), "word-counts")
+    return Model(langs, _tables(counted, langs))
 
 
 class Scorer:
@@ -106,17 +106,20 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.langs, self.word = model.langs, regex.compile(WORD)
-        rows: list[np.ndarray] = []
-
-        def indexed(table: dict[str, np.ndarray]) -> dict[str, int]:
-            first = len(rows)
-            rows.extend(table.values())
-            return {item: first + k for k, item in enumerate(table)}
-
-        self.words = indexed(model.words)
-        self.grams = [(length, indexed(model.grams.get(length, {}))) for length in GRAM_LENGTHS]
-        rows.append(np.zeros(len(model.langs)))  # of a word with no known n-gram
-        self.table = np.array(rows).reshape(len(rows), len(model.langs))
+        first, parts = 0, []
+
+        def indexed(kind: int) -> dict[str, int]:
+            nonlocal first
+            if kind not in model.tables:
+                return {}
+            items, rows = model.tables[kind]
+            parts.append(rows)
+            first += len(rows)
+            return dict(zip(items.split("\n"), range(first - len(rows), first), strict=True))
+
+        self.words = indexed(0)
+        self.grams = [(length, indexed(length)) for length in GRAM_LENGTHS]
+        self.table = np.concatenate([*parts, np.zeros((1, len(model.langs)))])  # the last row: of a word with no known n-gram
         self._reset()
 
     def _reset(self) -> None:

@@ -497,7 +497,7 @@ def test_language_scores_equal_plain_ones(spark):
         assert found[k].lang_pred == best or abs(logs[found[k].lang_pred] - logs[best]) < 1e-9
         assert abs(found[k].score - score) < 1e-9
     assert backed > 100
-    assert langid.Scorer(langid.Model(["x", "y"], {"w": np.array([-1.0, -1.0])}, {})).predict("w") == ("x", 0.5)  # a tie
+    assert langid.Scorer(langid.Model(["x", "y"], {0: ("w", np.array([[-1.0, -1.0]]))})).predict("w") == ("x", 0.5)  # a tie
 
 
 def test_tiktoken_is_the_measure():
