@@ -18,11 +18,12 @@ def read_parquet(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, column: str | int, sep: str = ",") -> DataFrame:
-    """A header is required, quotes as in RFC 4180, short records fail, empty fields stay empty."""
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True)
+    """A header is required, quotes as in RFC 4180, short records fail, empty fields stay empty, quoted or not; there are no nulls."""
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True).option("columnPruning", False)
     reader = reader.option("emptyValue", "").option("nullValue", "\u0000").option("mode", "FAILFAST")
     rows = reader.csv(path)
-    return _text_or_bytes(rows, rows.columns[column] if isinstance(column, int) else column)
+    found = _text_or_bytes(rows, rows.columns[column] if isinstance(column, int) else column)
+    return found.select(F.coalesce("data", F.lit("")).alias("data"))
 
 
 def _text_or_bytes(rows: DataFrame, column: str) -> DataFrame:

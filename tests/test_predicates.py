@@ -76,6 +76,12 @@ def test_codecs(rows, tmp_path):
     for codec, level in (("none", None), ("lz4_raw", None), ("zstd", 9)):
         back = physical.codec_round_trip(rows, str(tmp_path / codec), codec, level)
         assert gate.gate(rows, back, "row_id").first()["gate_ok"] and back.exceptAll(rows).isEmpty()
+    many = rows.crossJoin(rows.sparkSession.range(200)).select("row_id", "data")  # enough bytes for codecs to differ
+    folders = {"none": None, "zstd1": 1, "zstd19": 19}
+    for name, level in folders.items():
+        physical.codec_round_trip(many, str(tmp_path / f"sized-{name}"), "zstd" if level else "none", level)
+    sizes = {r.codec: r.bytes for r in physical.codec_sizes({n: str(tmp_path / f"sized-{n}") for n in folders}, rows.sparkSession).collect()}
+    assert 0 < sizes["zstd19"] <= sizes["zstd1"] < sizes["none"]
 
 
 def test_cover_is_sound():

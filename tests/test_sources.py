@@ -27,6 +27,14 @@ def test_csv_ingest_keeps_empties_and_order(spark, tmp_path):
     assert json.loads((tmp_path / "manifest.json").read_text())["id"] == "mini"
 
 
+def test_tsv_and_columns_by_number(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text('k\tdata\n1\t"x\ty"\n2\t\n')
+    assert [r[0] for r in columns.read_delimited(spark, str(tmp_path / "a.tsv"), 1, "\t").collect()] == ["x\ty", ""]
+    (tmp_path / "b.csv").write_text("k,data\n1\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        columns.read_delimited(spark, str(tmp_path / "b.csv"), "data").collect()
+
+
 def test_ingest_rejects(spark, tmp_path):
     with pytest.raises(TypeError):
         columns._text_or_bytes(spark.range(3), "id")
