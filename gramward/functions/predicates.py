@@ -1,7 +1,7 @@
 """The five substring predicates as native columns, exact in bytes.
 
 Needles are bytes. On a string column they must be UTF-8; on a binary column any bytes go.
-Nothing here is a UDF: Catalyst sees plain StartsWith, EndsWith, Contains and Like.
+Nothing here is a UDF: Catalyst sees plain StartsWith, EndsWith, Contains and StringLocate.
 """
 
 from __future__ import annotations
@@ -52,12 +52,26 @@ def latin1(column: Column) -> Column:
     return F.decode(column, "ISO-8859-1")
 
 
+def ordered(text: Column, needles: list[str]) -> Column:
+    """Whether the needles occur in order, none over another: each is looked for from where the leftmost place of the one before ends.
+
+    A LIKE pattern of them says the same, but runs as a regular expression that tries every place of the first with every
+    one of the second, and so on: of the square or cube of a long text's length where the last is missing.
+    """
+    out, at = None, F.lit(1)
+    for needle in needles:
+        place = F.call_function("locate", F.lit(needle), text, at)
+        out = place > 0 if out is None else out & (place > 0)
+        at = place + len(needle)
+    return out
+
+
 def matches(column: Column, q: Query, binary: bool = False) -> Column:
     """Whether a row matches; NULL for a NULL row.
 
     Empty needles match every row, so they are folded here (Catalyst does not). An ordered
-    match of several needles also states its longest needle as ``contains``, which Parquet
-    can push down and which ends the search early.
+    match of several needles (see ``ordered``) also states its longest needle as ``contains``, which
+    ends the search early.
     """
     everything = F.when(column.isNotNull(), F.lit(True))
     if q.op == "prefix":
@@ -75,5 +89,4 @@ def matches(column: Column, q: Query, binary: bool = False) -> Column:
     if len(needles) == 1:
         return longest
     text, decoding = (latin1(column), "latin-1") if binary else (column, "utf-8")
-    pattern = "%" + "%".join(like_escape(n.decode(decoding)) for n in needles) + "%"
-    return longest & text.like(pattern)
+    return longest & ordered(text, [n.decode(decoding) for n in needles])

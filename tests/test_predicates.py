@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,13 @@ def test_bitmap_hash_of_words_in_order():
     for word in sorted({k // 64 for k in ids}):
         state.add(word, sum(1 << k % 64 for k in ids if k // 64 == word))
     assert state.digest() == truth.bitmap_hash(ids, 9000) and truth.Bitmap(9000).digest() == truth.bitmap_hash([], 9000)
+
+
+def test_ordered_matches_take_time_in_proportion(spark):
+    """Hundreds of thousands of places of the first needles and none of the last: a pattern would try them all with each other."""
+    text = "the of " * 200_000
+    rows = spark.createDataFrame([(text,), (text + "zq",), (None,), ("",), ("of the zq",)], "t string")
+    began = time.perf_counter()
+    found = [r[0] for r in rows.select(matches(F.col("t"), query("multi_contains", "the", "of", "zq"))).collect()]
+    assert found == [False, True, None, False, False] and time.perf_counter() - began < 20
+    assert rows.where(matches(F.col("t"), query("multi_contains", "é", "of"))).count() == 0
