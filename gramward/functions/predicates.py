@@ -63,7 +63,7 @@ def ordered(text: Column, needles: list[str]) -> Column:
         place = F.call_function("locate", F.lit(needle), text, at)
         out = place > 0 if out is None else out & (place > 0)
         at = place + len(needle)
-    return out
+    return F.when(text.isNotNull(), out)  # an unknown start alone would say no
 
 
 def matches(column: Column, q: Query, binary: bool = False) -> Column:
