@@ -50,6 +50,16 @@ def drop_scratch(*tables: DataFrame) -> None:
         _SCRATCH.remove(path)
 
 
+@contextlib.contextmanager
+def passing_scratch(*kept: str) -> Iterator[None]:
+    """Delete the scratch tables made within, but for those ``kept``: for steps whose result is written by their end."""
+    before = set(_SCRATCH)
+    yield
+    for path in [p for p in _SCRATCH if p not in before and p not in kept]:
+        _delete(path)
+        _SCRATCH.remove(path)
+
+
 def _delete(path: str) -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:

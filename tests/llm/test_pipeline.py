@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import struct
@@ -113,9 +114,12 @@ def test_stages_take_any_rows_and_columns(spark):
 
 
 def test_settings_stay(spark, sf_dir):
+    """And nothing but the stages' results is left in the shared folder by a run."""
+    kept = set(os.listdir(f"{shared_dir(spark)}/gramward"))
     before = {x: spark.conf.get(x) for x in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")}
     corpus_pipeline.run(spark, sf_dir).count()
     assert before == {x: spark.conf.get(x) for x in before} and shared_dir(spark)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(f"{shared_dir(spark)}/gramward")) - kept} == {f"stage-{n}" for n, _ in corpus_pipeline.STAGES}
 
 
 def test_one_query_for_each_operator():
