@@ -1,6 +1,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,24 @@ def test_ordered_matches_take_time_in_proportion(spark):
     found = [r[0] for r in rows.select(matches(F.col("t"), query("multi_contains", "the", "of", "zq"))).collect()]
     assert found == [False, True, None, False, False] and time.perf_counter() - began < 20
     assert rows.where(matches(F.col("t"), query("multi_contains", "é", "of"))).count() == 0
+
+
+def test_a_scheme_of_ones_own(spark):
+    """The way out where no native expression will do: an Arrow UDF over bytes, under a name of its own, gated like any other."""
+
+    def plan(rows, id_column, column, q, scanner):
+        needle = bytes(q.needles[0])
+
+        @F.pandas_udf("boolean")
+        def holds(values: pd.Series) -> pd.Series:
+            return values.map(lambda v: needle in bytes(v))
+
+        return rows.where(holds(F.col(column)))
+
+    registry.add(registry.Scheme("own_find", {"udf": (frozenset(["contains"]), plan)}))
+    raw = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(golden_rows())], "row_id long, data binary")
+    own = registry.system("own_find/udf")
+    q = query("contains", b"\x7f\x01")
+    assert gate.gate(registry.system("uncompressed/direct").run(raw, "row_id", "data", q), own.run(raw, "row_id", "data", q), "row_id").first()["gate_ok"]
+    assert own.reason(query("prefix", "a")) and own.label in {s.label for s in registry.systems()}
+    del registry.SCHEMES["own_find"]
