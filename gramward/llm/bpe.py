@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import materialise, slices
+from gramward.llm.common import materialise, slices, spread
 
 #: Characters of a chunk and of its overlap with the next one; a text of one chunk needs no stitching.
 CHUNK_CHARS = 32_768
@@ -154,6 +154,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
     kind, size = docs.schema[id_col].dataType, F.coalesce(F.length(text_col), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size.alias("size"))
+    few = spread(rows)
 
     def encoded(columns: int, names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         return run
 
     array_of_ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    short = rows.where(F.col("size") <= CHUNK_CHARS).select("id", "text").mapInArrow(encoded(1, ["id", "ids"]), T.StructType([T.StructField("id", kind), array_of_ids]))
+    short = few.where(F.col("size") <= CHUNK_CHARS).select("id", "text").mapInArrow(encoded(1, ["id", "ids"]), T.StructType([T.StructField("id", kind), array_of_ids]))
     keyed = rows.where(F.col("size") > CHUNK_CHARS).withColumn("key", F.xxhash64("id", "text"))
     long = materialise(keyed.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("copies")), "long-texts")
     cuts = _stitches(long, pattern).groupBy("key").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))

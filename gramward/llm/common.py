@@ -93,6 +93,14 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return found
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores, where a plain scan has fewer partitions than there are cores, as one of a small file has; else as they are."""
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def numbered_columns(df: DataFrame) -> DataFrame:
     """The columns under plain names, since a name with a dot cannot be given to Python workers."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gramward.llm.common import slices
+from gramward.llm.common import slices, spread
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[a-zA-Z/!?][^>]*\Z""", re.S
@@ -423,4 +423,4 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, T.StructType(fields))
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, T.StructType(fields))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import materialise, numbered_columns, slices
+from gramward.llm.common import materialise, numbered_columns, slices, spread
 
 UNDETERMINED = "und"
 #: The bound of the fitted model: about so many labelled rows of each language are learned from.
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         share = int(min(1.0, sample_rows / size) * 1_000_000)
         within |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share)
     sample = rows.where(within)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("item"))
+    words = spread(sample.select("lang", "text")).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count("*").alias("n"))
     cut = counts.select("lang", F.explode(_cut(F.col("item"))).alias("x"), "n").select("lang", "x.kind", "x.item", "n")
     counted = materialise(cut.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), "word-counts")
@@ -183,8 +183,8 @@ def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred",
     """``docs`` with two columns more, which replace any of those names: the language and its posterior.
 
     A null text and one without letters are ``und`` with score 0; ties go to the first language
-    in alphabetical order, as they do with a model that knows no language (then ``und``). Whole texts are read. Rows and
-    their order within a partition stay, repeated ones too; no rows in, no rows out; nothing is shuffled.
+    in alphabetical order, as they do with a model that knows no language (then ``und``). Whole texts are read. Rows
+    stay, repeated ones too; no rows in, no rows out; nothing is shuffled, but for a table of fewer partitions than cores.
     """
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -198,7 +198,7 @@ def label(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred",
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return numbered_columns(docs).mapInArrow(run, schema)
+    return spread(numbered_columns(docs)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

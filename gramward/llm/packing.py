@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramward.llm.bpe import json_codec, packed, stitched
-from gramward.llm.common import slices
+from gramward.llm.common import slices, spread
 
 END_OF_DOCUMENT = 0
 #: Sequences of one partition: ids of sequences are partition * this + a running number.
@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, size: int
                 columns = np.column_stack([rows[part], base + full + windows[part], offsets[part]]).T.copy()
                 yield out(whole.slice(at, 8192), columns, kept_ids[part])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import components, free_names, materialise, slices
+from gramward.llm.common import components, free_names, materialise, slices, spread
 
 SEED = 42
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             )
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def _segments(count: int) -> list[int]:
@@ -366,7 +366,7 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array([n for _, n, _ in got], pa.int64()), keys], names=schema.names)
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    found = materialise(rows.mapInArrow(run, schema), "sketches")
+    found = materialise(spread(rows).mapInArrow(run, schema), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     nodes = found.groupBy("node").agg(F.min(order).alias("head"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")

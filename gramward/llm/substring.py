@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import free_names, numbered_columns, slices
+from gramward.llm.common import free_names, numbered_columns, slices, spread
 
 #: Sentences of a run; words beyond which a stretch is cut by content.
 RUN, LONG = 3, 30
@@ -150,7 +150,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 names=schema.names,
             )
 
-    found = docs.select(*_row_key(), "text").mapInArrow(run, schema)
+    found = spread(docs.select(*_row_key(), "text")).mapInArrow(run, schema)
     # What is sure needs no meeting: it is spread by its row.
     met = Window.partitionBy("hash", F.when(F.col("sure"), F.xxhash64("row_key", "first"))).orderBy(
         F.asc_nulls_last("doc_id"), "row_key", "first"

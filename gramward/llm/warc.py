@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramward.llm.common import materialise, scratch_path, slices
+from gramward.llm.common import materialise, scratch_path, slices, spread
 
 #: Payloads below this many bytes are never deduplicated; an archive is closed beyond so many bytes.
 REVISIT_BYTES, ARCHIVE_BYTES = 100, 8 << 20
@@ -232,7 +232,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     table, which is broadcast while it is small; beyond that each payload is shuffled once, and Spark splits the
     partition of a page that a third of the table copies.
     """
-    full = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    full = spread(pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")))
     full = full.withColumn("payload_digest", F.sha2("payload", 256))
     large = full.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     twice = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
