@@ -94,6 +94,17 @@ def codec_sizes(folders: dict[str, str], spark: SparkSession) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores, where a plain scan has fewer partitions than there are cores, as one of a small file has; else as they are.
+
+    For what makes many rows of one; a mere test of rows costs less than dealing them.
+    """
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def grams(column: Column, size: int) -> Column:
     """Distinct n-grams of characters; none of a shorter text."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - size + 1))
@@ -102,7 +113,7 @@ def grams(column: Column, size: int) -> Column:
 
 def gram_index(rows: DataFrame, id_column: str, column: str, size: int = 3) -> DataFrame:
     """The inverted index ``gram, id``; written once, it serves every later query."""
-    return rows.select(F.explode(grams(F.col(column), size)).alias("gram"), id_column)
+    return spread(rows.select(id_column, column)).select(F.explode(grams(F.col(column), size)).alias("gram"), id_column)
 
 
 def gram_lookup(index: DataFrame, rows: DataFrame, id_column: str, column: str, q: Query, size: int = 3) -> DataFrame:
@@ -120,7 +131,7 @@ def gram_lookup(index: DataFrame, rows: DataFrame, id_column: str, column: str,
 
 def token_index(rows: DataFrame, id_column: str, column: str) -> DataFrame:
     """``token, id, n``: white-space tokens with their counts in each row."""
-    return rows.select(id_column, F.explode(F.filter(F.split(column, " "), lambda t: t != "")).alias("token")).groupBy("token", id_column).agg(F.count("*").alias("n"))
+    return spread(rows.select(id_column, column)).select(id_column, F.explode(F.filter(F.split(column, " "), lambda t: t != "")).alias("token")).groupBy("token", id_column).agg(F.count("*").alias("n"))
 
 
 def token_statistics(rows: DataFrame, id_column: str, column: str) -> DataFrame:
