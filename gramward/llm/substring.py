@@ -28,6 +28,8 @@ RUN, LONG = 3, 30
 CUT_WINDOW = 8
 #: Characters in which the words before a mark are looked for.
 LOOK_BACK = 200
+#: Runs that a task remembers, about.
+MET_RUNS = 200_000
 _MARKS, _WIDE_MARKS = ".!?", "\u3002\uff01\uff0e\uff1f\uff61"
 #: Scripts without spaces (Thai to Khmer, kana, ideographs): each character counts as a word.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -119,8 +121,8 @@ def _row_key() -> list:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, firsts``: the first sentences of the runs of a row that occur before, in (doc_id, place) order.
 
-    Each batch combines its own rows first: of runs it holds several times only the first meets
-    the others, so that a run in a third of all rows is a row for each batch.
+    Each task combines its own rows first: of runs it has met in an earlier place only that one meets
+    the others, so that a run in a third of all rows is a few rows for each task. What it remembers is bounded by ``MET_RUNS``.
     """
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([
@@ -129,26 +131,32 @@ def repeats(docs: DataFrame) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, tuple] = {}  # the earliest place of a run so far
         for batch in slices(batches, 1024):
             ids, keys, texts = (c.to_pylist() for c in batch.columns)
-            order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, keys[k]))
-            seen: dict[int, tuple] = {}
-            done, rows, hashes, firsts, sure = set(), [], [], [], []
-            for k in order:
-                if (ids[k], keys[k]) in done:  # a repeated row
+            order = sorted((i is None, i or 0, key, k) for k, (i, key) in enumerate(zip(ids, keys, strict=True)))
+            rows, hashes, firsts, sure, last = [], [], [], [], None
+            for *document, k in order:
+                if document == last:  # a repeated row
                     continue
-                done.add((ids[k], keys[k]))
+                last = document
                 for i, x in enumerate(runs(texts[k] or "")):
+                    place, before = (*document, i), met.get(x)
+                    if before == place:  # a repeated row of another batch
+                        continue
                     rows.append(k)
                     hashes.append(x)
                     firsts.append(i)
-                    sure.append(x in seen)
-                    seen[x] = ()
+                    sure.append(before is not None and before < place)
+                    if before is None or place < before:
+                        met[x] = place
             taken = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(hashes, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sure, pa.bool_())],
                 names=schema.names,
             )
+            if len(met) > MET_RUNS:
+                met = {}
 
     found = spread(docs.select(*_row_key(), "text")).mapInArrow(run, schema)
     # What is sure needs no meeting: it is spread by its row.

@@ -348,8 +348,10 @@ def brute_dedup(rows, size=3):
     return left
 
 
-def test_substring_dedup_equals_brute_force(spark):
-    """No code in common but the fixture: repeated runs at any place, within a text too, short ones and marks in a row."""
+@pytest.mark.parametrize("met", [200_000, 20])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, met):
+    """No code in common but the fixture: repeated runs at any place, within a text too, short ones and marks in a row; rows in any order and repeated."""
+    monkeypatch.setattr(substring, "MET_RUNS", met)
     draw = random.Random(17)
     pool = [words(draw, draw.randint(1, 6)).capitalize() + draw.choice([".", "!", "?", ".", ","]) for _ in range(9)]
     rows = [(k, draw.choice([" ", "\n", "  "]).join(draw.choice(pool) for _ in range(draw.randint(0, 9)))) for k in range(300)]
@@ -357,7 +359,11 @@ def test_substring_dedup_equals_brute_force(spark):
     rows += [(400, "I agree with you. Thanks a lot."), (401, "I agree with you. Thanks a lot."), (402, "Alone here."), (403, "Alone here.")]
     long = " ".join(f"w{k}" for k in range(25)) + "."
     rows += [(410, f"This is mine only. {long} And that was it."), (411, f"That is yours then. {long} So it was over.")]
-    found = {r.doc_id: r.text for r in substring.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    mixed = rows + rows[::7]
+    draw.shuffle(mixed)
+    got = substring.drop_repeats(spark.createDataFrame(mixed, "doc_id long, text string").repartition(2)).collect()
+    found = {r.doc_id: r.text for r in got}
+    assert len(got) == len(mixed) and all(found[r.doc_id] == r.text for r in got)
     left = brute_dedup(rows)
     assert sum(" ".join(t.split()) != " ".join(left[k]) for k, t in rows) > 20
     assert {k: " ".join(t.split()) for k, t in found.items()} == {k: " ".join(x) for k, x in left.items()}
