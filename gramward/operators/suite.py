@@ -16,6 +16,8 @@ from gramward.sources.columns import write_json
 ALGO = "xxh3"
 #: First matching ids that a truth holds.
 SAMPLE = 8
+#: Queries whose truths are computed in one scan.
+TOGETHER = 64
 
 
 def encode_needle(needle: bytes) -> str | dict:
@@ -66,23 +68,45 @@ def read(folder: str, manifest: dict, blessed: bool = True) -> tuple[dict, list[
     return about, [q for q, _ in found], {q.id: t for q, t in found if t}
 
 
-def truth(matched: DataFrame, rows: int) -> dict:
-    """Count, hash and first ids of a matched set. Bitmap words are made in Spark and pass in order through the hash, which is one of their sequence."""
+def _words(matched: DataFrame, *keys: str) -> DataFrame:
     word = F.floor(F.col("row_id") / 64).cast("long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row_id", F.lit(64)).cast("int"))
-    words = matched.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).orderBy("word")
-    state, at, count, first = root.Bitmap(rows), 0, 0, []
-    for at, bits in words.toLocalIterator():
-        own = state.add(at, bits)
-        count += own
-        if len(first) < SAMPLE:
-            first += [at * 64 + b for b in range(64) if bits >> b & 1]
-    return {"count": count, "hash": state.digest(), "algo": ALGO, "sample_indices": first[:SAMPLE]}
+    return matched.groupBy(*keys, word.alias("word")).agg(F.bit_or(bit).alias("bits")).orderBy(*keys, "word")
+
+
+class _Truth:
+    """A truth from bitmap words that come in order."""
+
+    def __init__(self, rows: int):
+        self.state, self.count, self.first = root.Bitmap(rows), 0, []
+
+    def add(self, word: int, bits: int) -> None:
+        self.count += self.state.add(word, bits)
+        if len(self.first) < SAMPLE:
+            self.first += [word * 64 + b for b in range(64) if bits >> b & 1]
+
+    def done(self) -> dict:
+        return {"count": self.count, "hash": self.state.digest(), "algo": ALGO, "sample_indices": self.first[:SAMPLE]}
+
+
+def truth(matched: DataFrame, rows: int) -> dict:
+    """Count, hash and first ids of a matched set. Bitmap words are made in Spark and pass in order through the hash, which is one of their sequence."""
+    found = _Truth(rows)
+    for word, bits in _words(matched).toLocalIterator():
+        found.add(word, bits)
+    return found.done()
 
 
 def _truths(rows: DataFrame, manifest: dict, queries: list[Query]) -> dict[str, dict]:
+    """Truths of all queries, ``TOGETHER`` of them in one scan."""
     binary = dict(rows.dtypes)["data"] == "binary"
-    return {q.id: truth(rows.where(matches(F.col("data"), q, binary)), manifest["num_rows"]) for q in queries}
+    out = {q.id: _Truth(manifest["num_rows"]) for q in queries}
+    for at in range(0, len(queries), TOGETHER):
+        part = queries[at : at + TOGETHER]
+        hit = F.filter(F.array(*[F.when(matches(F.col("data"), q, binary), F.lit(k)) for k, q in enumerate(part)]), lambda k: k.isNotNull())
+        for k, word, bits in _words(rows.select("row_id", F.explode(hit).alias("k")), "k").toLocalIterator():
+            out[part[k].id].add(word, bits)
+    return {k: t.done() for k, t in out.items()}
 
 
 def bless(rows: DataFrame, manifest: dict, folder: str, force: bool = False) -> None:
