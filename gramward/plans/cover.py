@@ -51,36 +51,28 @@ def minimum_vertex_cut(edges: list[tuple[Hashable, Hashable]], cost: dict[Hashab
     return {n for n in nodes if (n, 0) in came and (n, 1) not in came}
 
 
-def needle_graph(needle: str, tokens: dict[str, int]) -> tuple[list[tuple], dict]:
-    """How dictionary tokens can cover an occurrence of ``needle`` in a token stream.
+def needle_graph(needle: str, tokens: dict[str, int]) -> tuple[list[tuple], dict, dict[tuple[int, int], list[str]]]:
+    """How dictionary tokens can cover an occurrence of ``needle`` in a token stream: edges, costs, and the tokens of each node.
 
-    A node (token, at) is a token laid over the needle from place ``at`` (negative: it begins before). A path from
-    "begin" to "end" is one way in which a row can hold the needle. Costs are token frequencies.
+    A node (a, b) stands for all tokens that can lie over the needle from place a to place b: a cut takes all of them or none, so
+    their frequencies add up, and the graph is as small as the needle, whatever the dictionary. Between nodes are the places, which
+    cannot be cut; a path from "begin" to "end" is one way in which a row can hold the needle.
     """
-    size, edges, cost = len(needle), [], {}
-    starts: dict[int, list] = {}
+    size, cost, members = len(needle), {}, {}
     for token, frequency in tokens.items():
         for at in range(1 - len(token), size):
             a, b = max(at, 0), min(at + len(token), size)
             if token[a - at : b - at] == needle[a:b]:
-                node = (token, at)
-                cost[node] = frequency
-                starts.setdefault(a if at >= 0 else 0, []).append(node)
-    for node in cost:
-        token, at = node
-        if at <= 0:
-            edges.append(("begin", node))
-        end = at + len(token)
-        if end >= size:
-            edges.append((node, "end"))
-        else:
-            edges += [(node, other) for other in starts.get(end, []) if other[1] == end]
-    return edges, cost
+                members.setdefault((a, b), []).append(token)
+                cost[a, b] = cost.get((a, b), 0) + frequency
+    place = {0: "begin", size: "end"}
+    edges = [e for a, b in cost for e in ((place.get(a, ("place", a)), (a, b)), ((a, b), place.get(b, ("place", b))))]
+    return edges, cost, members
 
 
 def cover(needle: str, tokens: dict[str, int]) -> set[str]:
     """Tokens of which every row that holds ``needle`` has at least one. Empty if no row can hold it."""
-    edges, cost = needle_graph(needle, tokens)
+    edges, cost, members = needle_graph(needle, tokens)
     if not any(b == "end" for _, b in edges):
         return set()
-    return {node[0] for node in minimum_vertex_cut(edges, cost, "begin", "end")}
+    return {token for node in minimum_vertex_cut(edges, cost, "begin", "end") for token in members[node]}
