@@ -107,10 +107,17 @@ def ratios(rows: DataFrame, cell: list[str], system: str, value: str, base: str)
 
 
 def pareto(points: DataFrame, name: str, high: str, low: str) -> DataFrame:
-    """Points that no other beats on one axis without losing on the other. Points are one for each system."""
-    other = points.select(F.col(high).alias("_h"), F.col(low).alias("_l"))
-    beaten = (F.col("_h") >= F.col(high)) & (F.col("_l") <= F.col(low)) & ((F.col("_h") > F.col(high)) | (F.col("_l") < F.col(low)))
-    return points.join(other, beaten, "left_anti").select(name, high, low)
+    """Points that no other beats on one axis without losing on the other; those with a NULL are beaten by none.
+
+    Of each ``high`` only the least ``low`` can stand, and only if it is less than all of larger ``high``: a running minimum over the
+    distinct values of ``high`` (one for each system at most) instead of every point against every other.
+    """
+    best = points.groupBy(F.col(high).alias("_h")).agg(F.min(low).alias("_l"))
+    above = Window.orderBy(F.desc_nulls_last("_h")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_above", F.min("_l").over(above))
+    found = points.join(best, F.col(high) == F.col("_h"), "left")
+    stands = (F.col(low) == F.col("_l")) & (F.col("_above").isNull() | (F.col("_above") > F.col(low)))
+    return found.where(F.col(high).isNull() | F.col(low).isNull() | stands).select(name, high, low)
 
 
 def upper_median(value: str) -> Column:

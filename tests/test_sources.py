@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gramward.functions.predicates import query
 from gramward.functions.truth import column_checksum, row_matches
 from gramward.operators import generator
-from gramward.plans import store
+from gramward.plans import analytics, store
 from gramward.sources import columns
 from gramward.streaming.results import load_stream
 from tests.fixture_rows import CHECKSUM, golden_rows
@@ -163,5 +163,13 @@ def test_stream_load(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 0), ("b", 0), ("c", 1)]
 
 
+def test_pareto_equals_all_pairs(spark):
+    draw = random.Random(3)
+    rows = [(k, float(draw.randint(1, 9)), float(draw.randint(1, 9))) for k in range(60)] + [(90, None, 1.0), (91, 9.0, None)]
+    found = {r[0] for r in analytics.pareto(spark.createDataFrame(rows, "n int, h double, l double"), "n", "h", "l").collect()}
+    beaten = {a for a, h, l in rows[:60] for _, x, y in rows[:60] if x >= h and y <= l and (x > h or y < l)}
+    assert found == {k for k, _, _ in rows} - beaten and 60 > len(found) > 2
+
+
 def test_checksum_depends_on_order():
     assert column_checksum([b"a", b"b"]) != column_checksum([b"b", b"a"])
