@@ -5,6 +5,9 @@ A fingerprint is cut into a ring of segments. If two fingerprints differ in at m
 ``floor(l * t / m)`` differing bits in its first ``l`` segments. For t = 2 and m = 5 the budgets
 are 0, 0, 1, 1, 2, so a pair must share two neighbouring segments (25 or 26 bits) exactly:
 that is the equi-join key, and the longer chains prune before the full Hamming check.
+
+A similarity of 0.8 leaves one bit in five free, and no segment must be equal there. Its keys come from the ring of
+the shingles themselves (see ``sketch``); what meets is held against the chains of a fingerprint of four words.
 """
 
 from __future__ import annotations
@@ -48,14 +51,30 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fold(hashes: np.ndarray) -> int:
     """The fingerprint: a bit is 1 if it is set in over half the hashes. Zero for no hashes."""
-    total = np.zeros(BITS, np.int64)
+    return int(_majority(hashes.reshape(-1, 1))[0])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words: the words whose bits are 1 if set in over half the rows."""
+    bits = hashes.shape[1] * BITS
+    total = np.zeros(bits, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little")
         whole = len(part) // 255 * 255  # counts of up to 255 fit in a byte
-        total += part[:whole].reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        total += part[:whole].reshape(-1, 255, bits).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
         total += part[whole:].sum(0, dtype=np.uint8)
-    bits = np.packbits(total * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fold(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint in ``WORDS`` words: of the hashes, and of the hashes mixed again for each further word (splitmix64)."""
+    words = [hashes]
+    for k in range(1, WORDS):
+        z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        words.append(z ^ (z >> np.uint64(31)))
+    return _majority(np.stack(words, axis=1))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,6 +125,9 @@ class Ring:
             found[found] = np.bitwise_count(differing[found] & self.chains[start[found], k]) <= most
         return found
 
+    def rows(self, values: np.ndarray) -> Chained:
+        return Chained(values.reshape(-1, 2), self)
+
 
 class Chained:
     """Rows of (ring start, fingerprint); alike are those whose chain from there holds."""
@@ -117,6 +139,38 @@ class Chained:
         return self.ring.holds(self.start[a], self.fp[a] ^ self.fp[b])
 
 
+class WordRing:
+    """Chains of whole words of a fingerprint of several; from which word a chain must start is not known beforehand."""
+
+    def __init__(self, max_bits: int, words: int):
+        self.words = words
+        self.budget = [length * max_bits // words for length in range(1, words + 1)]
+
+    def holds(self, apart: np.ndarray) -> np.ndarray:
+        """Of rows of differing bits by word, those where all chains from some word keep their budgets; the last is that of all bits."""
+        found = np.zeros(len(apart), bool)
+        for start in range(self.words):
+            rest = np.flatnonzero(~found & (apart[:, start] <= self.budget[0]))
+            for k in range(1, self.words):
+                chain = [(start + i) % self.words for i in range(k + 1)]
+                rest = rest[apart[rest][:, chain].sum(axis=1, dtype=np.int64) <= self.budget[k]]
+            found[rest] = True
+        return found
+
+    def rows(self, values: np.ndarray) -> Worded:
+        return Worded(values.reshape(-1, self.words), self)
+
+
+class Worded:
+    """Rows of fingerprints of several words; alike are those for which a chain of the ring holds."""
+
+    def __init__(self, fps: np.ndarray, ring: WordRing):
+        self.fps, self.ring = fps, ring
+
+    def alike(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return self.ring.holds(np.bitwise_count(self.fps[a] ^ self.fps[b]))
+
+
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 5) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the distinct ``fp`` values within ``max_bits`` of another.
 
@@ -144,7 +198,7 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 5) -> DataFrame:
         met = met.where(F.col("rows") <= HOT_BUCKET).unionByName(hot.join(again, ["ring", "mask", "part"]), allowMissingColumns=True)
     met = met.withColumn("key", F.xxhash64("ring", "mask", "part")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
     met = met.select(F.col("fp").alias("node"), "key", "blocks", F.array(F.col("ring").cast("long"), "fp").alias("lanes"))
-    return bucket_links(met, None, ring).distinct()
+    return bucket_links(met, None, ring).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
@@ -168,29 +222,31 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
     )
 
 
-#: For similar texts: classes of shingles, and shingles of a class that make its key.
-CLASSES, CLASS_SHINGLES = 32, 4
+#: For similar texts: words of a fingerprint, and bits of it that may differ. At a cosine of 0.8 a bit differs in 0.25 of cases
+#: at most (sets of 2 and 3 shingles; 0.205 for large ones), so that more than 104 of 256 do in 1.4e-8 of cases.
+WORDS, WORD_BITS = 4, 104
+#: Starts on the ring of a set's shingles, and shingles that the longest key looks beyond its start.
+STARTS, AHEAD = 40, 4
 #: Words of 64 bits of a set's parities.
 LANES = 12
 #: Rows and shingles of a block of a bucket; buckets of up to SMALL_BUCKET rows are compared many at a time.
 BLOCK_ROWS, BLOCK_SHINGLES, SMALL_BUCKET = 2048, 1 << 20, 9
 
 
-def sketch(text: str | None, width: int) -> tuple[int, int, list[int]]:
-    """Of a text's distinct shingles: a hash of them all, their number, and a key for each class.
+def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Of a text's distinct shingles: a hash of them all, their number, the fingerprint, and the ring's least shingles.
 
-    A key is made of the least few shingle hashes of a class (the class is a hash's top bits),
-    so texts that share most shingles share a key in some class: at a cosine of 0.8, with
-    4 shingles and 32 classes, in 997 of 1000 cases at least.
+    Two sets' shingles lie on one ring, in order of their hashes. At a cosine of 0.8 or more the shingles of but one set are
+    at most 9 for each 16 shared ones, so pigeonring says: from some start, every chain holds at most 9/16 as many of
+    the former as of the latter. Its first two are hence shared, and neighbours in both sets: that is the key. Then comes a shared
+    one, or one of but one set and two shared (see ``longer_chains``). A set of up to ``STARTS`` shingles gives every start, with
+    which no pair is lost; of larger ones the least ``STARTS`` do, among which under one pair in a million has no two such neighbours.
     """
     own = np.unique(shingle_hashes(text, width))
     whole = xxhash.xxh3_64_intdigest(own.tobytes())
-    keys = []
-    shift = np.uint64(BITS - CLASSES.bit_length() + 1)
-    for k, part in enumerate(np.split(own, np.searchsorted(own >> shift, np.arange(1, CLASSES).astype(np.uint64)))):
-        if len(part):
-            keys.append(xxhash.xxh3_64_intdigest(part[:CLASS_SHINGLES].tobytes(), seed=k))
-    return whole, len(own), keys
+    # one shingle alone is like no other set
+    low = own[np.arange(min(len(own), STARTS) + AHEAD) % len(own)] if len(own) > 1 else own[:0]
+    return whole, len(own), wide_fold(own), low
 
 
 class Shingles:
@@ -228,7 +284,7 @@ class Shingles:
         return found
 
 
-def forest(left: np.ndarray, right: np.ndarray, rows: Chained | Shingles) -> list[tuple[int, int]]:
+def forest(left: np.ndarray, right: np.ndarray, rows: Chained | Worded | Shingles) -> list[tuple[int, int]]:
     """Edges that connect what alike pairs of ``left`` x ``right`` connect.
 
     What is reached once is not compared again, so that a bucket of near copies costs a few passes.
@@ -252,7 +308,7 @@ def forest(left: np.ndarray, right: np.ndarray, rows: Chained | Shingles) -> lis
     return edges
 
 
-def _group_links(ids: np.ndarray, rows: Chained | Shingles, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(ids: np.ndarray, rows: Chained | Worded | Shingles, group: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links in whole groups, given in order of ``group``; ``blocks`` holds i, j and the row's own block."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -274,19 +330,46 @@ def _group_links(ids: np.ndarray, rows: Chained | Shingles, group: np.ndarray, b
 
 
 def met_rows(spread: DataFrame) -> DataFrame:
-    """``spread(node, key[, size])`` with the number of blocks, of rows whose key another has."""
-    counts = spread.groupBy("key").agg(F.count("*").alias("rows"), *([F.sum("size").alias("total")] if "size" in spread.columns else []))
+    """``spread(node, key[, size])`` with the number of blocks and of rows, of rows whose key another has.
+
+    Of keys that the very same nodes have, one stays; beyond ``HOT_BUCKET`` rows all do, since what a longer chain finds differs by its start.
+    """
+    sized = "size" in spread.columns
+    members = F.bit_xor(F.xxhash64("node")).alias("members")
+    counts = spread.groupBy("key").agg(F.count("*").alias("rows"), members, *([F.sum("size").alias("total")] if sized else []))
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    if "size" in spread.columns:
+    if sized:
         blocks = F.greatest(blocks, F.ceil(F.col("total") / BLOCK_SHINGLES))
-    return spread.join(counts.where("rows > 1").select("key", blocks.cast("int").alias("blocks")), "key").select("node", "key", "blocks")
+    hot = F.when(F.col("rows") > HOT_BUCKET, F.col("key")).alias("hot")
+    counts = counts.where("rows > 1").groupBy("rows", "members", blocks.cast("int").alias("blocks"), hot).agg(F.min("key").alias("key"))
+    return spread.join(counts, "key").select("node", "key", *(["size"] if sized else []), "blocks", "rows")
+
+
+def chain_rows(nodes: DataFrame) -> DataFrame:
+    """``node, key, size, blocks, rows`` of ``nodes(node, size, low)`` that meet by the first chain of the ring, or by longer ones in hot buckets."""
+    starts = f"sequence(0, size(low) - {AHEAD + 1})"
+    first = f"explode(transform({starts}, i -> xxhash64(low[i], low[i + 1]))) AS key"
+    met = materialise(met_rows(nodes.where("size(low) > 0").selectExpr("node", "size", first)), "met")
+    hot = met.where(F.col("rows") > HOT_BUCKET).join(nodes.select("node", "low"), "node")
+    hot = materialise(hot.select("node", "size", longer_chains(starts).alias("key")), "longer-chains")
+    return met.where(F.col("rows") <= HOT_BUCKET).unionByName(met_rows(hot))
+
+
+def longer_chains(starts: str) -> F.Column:
+    """Keys of the chains that may follow the one of ``key`` in ``low``.
+
+    Three shared; or two, one of but one set, which the other does not have, and two shared: both ways to read the row.
+    """
+    chains = ["low[i + 2]", "low[i + 2], low[i + 3]", "low[i + 3], low[i + 4]"]
+    own = f"filter({starts}, i -> xxhash64(low[i], low[i + 1]) = key)"
+    return F.expr(f"explode(flatten(transform({own}, i -> array({', '.join(f'xxhash64(low[i], low[i + 1], {c})' for c in chains)}))))")
 
 
-def bucket_links(spread: DataFrame, sketches: DataFrame | None, ring: Ring | None = None) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes with a common key that are alike.
+def bucket_links(spread: DataFrame, sketches: DataFrame | None, ring: Ring | WordRing | None = None) -> DataFrame:
+    """Links ``(a, b, key)`` that connect all nodes with a common key that are alike.
 
     ``spread(node, key)``, or what ``met_rows`` makes of it, with ``sketches(node, shingles)``, which are held against each
-    other exactly; or ``spread(node, key, blocks, lanes)``, where lanes are a start of ``ring`` and a fingerprint. A bucket is
+    other exactly; or ``spread(node, key, blocks, lanes)``, where lanes are a start of ``ring`` and a fingerprint, or one of several words. A bucket is
     dealt to blocks by hash, and each pair of blocks is one bounded group, whatever the size of the bucket. Keys are
     counted first, so that only rows that meet another take their sketches along.
     """
@@ -301,11 +384,12 @@ def bucket_links(spread: DataFrame, sketches: DataFrame | None, ring: Ring | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             x, values = np.concatenate([x for x, _ in parts]), np.concatenate([v for _, v in parts])
-            rows = Chained(values.view(np.uint64).reshape(-1, 2), ring) if ring else Shingles(values.view(np.uint32), x[:, 5])
+            rows = ring.rows(values.view(np.uint64)) if ring else Shingles(values.view(np.uint32), x[:, 5])
             group = np.cumsum(np.r_[False, (x[1:, :3] != x[:-1, :3]).any(axis=1)])
-            a, b = _group_links(x[:, 4], rows, group, x[:, 1:4])
+            at, b = _group_links(np.arange(len(x)), rows, group, x[:, 1:4])
+            a, b, key = x[at, 4], x[b, 4], x[at, 0]
             keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(key[keep])], names=["a", "b", "key"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in slices(batches, 8192):
@@ -324,7 +408,7 @@ def bucket_links(spread: DataFrame, sketches: DataFrame | None, ring: Ring | Non
         if held:
             yield linked(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, key long")
 
 
 def shingle_sets(heads: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -346,31 +430,33 @@ def shingle_sets(heads: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id, row_key, node, root, head``: groups of the texts of ``docs(doc_id, text)`` with a similarity of 0.8 or more on shingles.
 
-    The similarity is the cosine of the sets of shingles, which is what SimHash estimates. At 0.8 one bit of a
-    fingerprint in five differs, so that a pigeonring key would hold under 5 bits and choose nothing, and a limit on bits takes many
-    a pair at 0.7 for one at 0.8. Candidates therefore share a class key (see ``sketch``), and are linked by their whole
-    shingle sets. Every two texts of a bucket are held against each other, in blocks that give a forest. Texts with equal
-    shingles are one node; only nodes that meet another get their sets, from the texts once more.
+    The similarity is the cosine of the sets of shingles, which is what SimHash estimates. Candidates meet by the chains of
+    their shingles' ring (see ``sketch``), are held against each other by the chains of their fingerprints' words, and
+    what passes is linked by the whole shingle sets. Every two texts of a bucket are held against each other, in blocks that give
+    a forest. Texts with equal shingles are one node; only nodes that pass with another get their sets, from the texts once more.
     ``head`` is true for the one row that stays: the least (doc_id, row_key), null ids last.
     """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_key", T.LongType()), T.StructField("node", T.LongType()),
-        T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("size", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = [sketch(t, width) for t in batch.column(2).to_pylist()]
-            keys = pa.array([np.array(x, np.uint64).view(np.int64) for _, _, x in got], pa.list_(pa.int64()))
-            whole = pa.array(np.array([x for x, _, _ in got], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array([n for _, n, _ in got], pa.int64()), keys], names=schema.names)
+            whole = pa.array(np.array([x for x, *_ in got], np.uint64).view(np.int64))
+            fp, low = (pa.array([x[k].view(np.int64) for x in got], pa.list_(pa.int64())) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array([n for _, n, *_ in got], pa.int64()), fp, low], names=schema.names)
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     found = materialise(spread(rows).mapInArrow(run, schema), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    nodes = found.groupBy("node").agg(F.min(order).alias("head"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = found.groupBy("node").agg(F.min(order).alias("head"), *[F.first(c).alias(c) for c in ("size", "fp", "low")])
     nodes = materialise(nodes, "nodes")
-    met = materialise(met_rows(nodes.select("node", "size", F.explode("keys").alias("key"))), "met")
+    lanes = nodes.select("node", F.col("fp").alias("lanes"))
+    near = bucket_links(chain_rows(nodes).join(lanes, "node"), None, WordRing(WORD_BITS, WORDS))
+    near = materialise(near.select("key", F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
+    met = materialise(met_rows(near.join(nodes.select("node", "size"), "node")), "passed")
     heads = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("head.row_key").alias("row_key"))
     edges = bucket_links(met, materialise(shingle_sets(heads, docs, width), "shingles"))
     roots = materialise(components(edges).withColumnRenamed("node", "n"), "roots")

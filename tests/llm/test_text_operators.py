@@ -295,6 +295,52 @@ def test_links_by_similarity_band_and_length(spark):
         assert not [k for k in high if k + 1 in kept] and all(k + 1 in kept for k in low)
 
 
+def test_every_pair_of_words_within_the_bits_has_a_chain():
+    draw, ring = random.Random(41), simhash.WordRing(simhash.WORD_BITS, simhash.WORDS)
+    for bits in (0, 26, 90, 103, 104, 105, 150, 256):
+        apart = [[sum(64 * w <= b < 64 * w + 64 for b in own) for w in range(4)] for own in (draw.sample(range(256), bits) for _ in range(300))]
+        assert (ring.holds(np.array(apart, np.uint8)) == (bits <= 104)).all()
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_sets_of_a_cosine_of_08_meet_by_the_ring(spark, hot, monkeypatch):
+    """Every pair of sets of up to 40 shingles, by the first chain and by the longer ones of hot buckets."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    draw, sets = random.Random(42), []
+    while len(sets) < 4000:
+        one = {draw.getrandbits(63) for _ in range(draw.randint(2, 40))}
+        other = {x for x in one if draw.random() < draw.choice([1, 0.8])} | {draw.getrandbits(63) for _ in range(draw.randint(0, 1 + len(one) // 2))}
+        if one != other and 1 < len(other) <= 40 and 0.64 * len(one) * len(other) <= len(one & other) ** 2 < 0.72 * len(one) * len(other):
+            sets += [one, other]
+    rows = [(k, len(x), [*sorted(x), *(sorted(x) * 4)[:4]]) for k, x in enumerate(sets)]
+    met = {}
+    for r in simhash.chain_rows(spark.createDataFrame(rows, "node long, size long, low array<long>")).collect():
+        met.setdefault(r.key, set()).add(r.node)
+    pairs = {k // 2 for own in met.values() for k in own if k ^ 1 in own}
+    assert pairs == set(range(2000))
+
+
+def test_no_pair_near_the_limit_is_lost(spark):
+    """Thousands of pairs of a cosine little over 0.8, of sets beyond the ring's starts: a text, and the text with more behind it."""
+    draw, rows = random.Random(43), []
+    while len(rows) < 8000:
+        text = [f"{len(rows)}w{i}" for i in range(draw.randint(80, 200))]
+        other = text + [f"{len(rows)}more{i}" for i in range(int((len(text) - 4) / 0.64) - (len(text) - 4) - draw.randint(0, 1))]
+        assert 0.8 <= ((len(text) - 4) / (len(other) - 4)) ** 0.5 < 0.82
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 8000, 2))
+
+
+def test_near_copies_pass_by_their_fingerprints(spark, monkeypatch):
+    """The bits of SimHash decide which sets are held against each other: where none may differ, near copies do not meet."""
+    text = words(random.Random(44), 200)
+    near = spark.createDataFrame([(1, text), (2, text + " more"), (3, text.upper())], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one_of_each(near).collect()] == [1]
+    monkeypatch.setattr(simhash, "WORD_BITS", 0)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(near).collect()) == [1, 2]
+
+
 def test_names_of_other_columns_do_not_matter(spark):
     names = ["_own", "own", "_id", "id", "_key", "key", "_firsts", "firsts", "row", "row_key", "head", "_lang_pred", "a.b"]
     text = "One two three four. Five six seven eight. Nine ten eleven twelve. "
