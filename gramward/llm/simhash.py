@@ -346,15 +346,32 @@ def met_rows(spread: DataFrame) -> DataFrame:
 
 
 def chain_rows(nodes: DataFrame) -> DataFrame:
-    """``node, key, size, blocks, rows`` of ``nodes(node, size, low)`` that meet by the first chain of the ring, or by longer ones in hot buckets."""
+    """``node, key, blocks, rows`` of ``nodes(node, low)`` that meet by the first chain of the ring, or by longer ones in hot buckets."""
     starts = f"sequence(0, size(low) - {AHEAD + 1})"
     first = f"explode(transform({starts}, i -> xxhash64(low[i], low[i + 1]))) AS key"
-    met = materialise(met_rows(nodes.where("size(low) > 0").selectExpr("node", "size", first)), "met")
+    met = materialise(met_rows(nodes.where("size(low) > 0").selectExpr("node", first)), "met")
     hot = met.where(F.col("rows") > HOT_BUCKET).join(nodes.select("node", "low"), "node")
-    hot = materialise(hot.select("node", "size", longer_chains(starts).alias("key")), "longer-chains")
+    hot = materialise(hot.select("node", longer_chains(starts).alias("key")), "longer-chains")
     return met.where(F.col("rows") <= HOT_BUCKET).unionByName(met_rows(hot))
 
 
+def fewest_rows(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, key`` of ``nodes(node, size)`` that the links ``near(a, b, key)`` of fingerprints leave to be held against each other.
+
+    A connected group of them is one bucket, or its buckets by key where those are fewer rows: so near copies that share
+    many keys meet once, and a long chain of loosely linked texts is not held against itself as a whole.
+    """
+    groups = materialise(components(near), "near-roots")
+    rows = near.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node")
+    rows = materialise(rows.join(nodes.select("node", "size"), "node"), "passed")
+    dealt = F.sum(F.col("count") * F.ceil(F.col("count") / BLOCK_ROWS))
+    apart = rows.groupBy("root", "key").count().groupBy("root").agg(dealt.alias("apart"))
+    whole = groups.groupBy("root").count().groupBy("root").agg(dealt.alias("whole"))
+    how = materialise(apart.join(whole, "root").select("root", (F.col("whole") <= F.col("apart")).alias("one")), "one-bucket")
+    key = F.when(F.col("one"), F.xxhash64("root")).otherwise(F.xxhash64("root", "key"))
+    return rows.join(how, "root").select("node", "size", key.alias("key")).distinct()
+
+
 def longer_chains(starts: str) -> F.Column:
     """Keys of the chains that may follow the one of ``key`` in ``low``.
 
@@ -455,8 +472,7 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = materialise(nodes, "nodes")
     lanes = nodes.select("node", F.col("fp").alias("lanes"))
     near = bucket_links(chain_rows(nodes).join(lanes, "node"), None, WordRing(WORD_BITS, WORDS))
-    near = materialise(near.select("key", F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
-    met = materialise(met_rows(near.join(nodes.select("node", "size"), "node")), "passed")
+    met = materialise(met_rows(fewest_rows(materialise(near, "near"), nodes)), "held")
     heads = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("head.row_key").alias("row_key"))
     edges = bucket_links(met, materialise(shingle_sets(heads, docs, width), "shingles"))
     roots = materialise(components(edges).withColumnRenamed("node", "n"), "roots")

@@ -341,6 +341,19 @@ def test_near_copies_pass_by_their_fingerprints(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(near).collect()) == [1, 2]
 
 
+def test_near_copies_of_many_keys_are_held_once(spark, monkeypatch):
+    """A group that meets under many keys is one bucket; a chain of loose links keeps its smaller buckets."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 256)
+    dense = [(a, b, key) for key in range(40) for a in range(8) for b in range(a)]
+    chain = [(100 + k, 101 + k, 1000 + k) for k in range(600)]
+    near = spark.createDataFrame(dense + chain, "a long, b long, key long")
+    nodes = spark.createDataFrame([(k, 9) for k in [*range(8), *range(100, 701)]], "node long, size long")
+    met = {}
+    for r in simhash.fewest_rows(near, nodes).collect():
+        met.setdefault(r.key, []).append(r.node)
+    assert sorted(map(sorted, met.values())) == [list(range(8)), *[[100 + k, 101 + k] for k in range(600)]]
+
+
 def test_names_of_other_columns_do_not_matter(spark):
     names = ["_own", "own", "_id", "id", "_key", "key", "_firsts", "firsts", "row", "row_key", "head", "_lang_pred", "a.b"]
     text = "One two three four. Five six seven eight. Nine ten eleven twelve. "
