@@ -366,7 +366,7 @@ analysis("an_by_machine", "SELECT host, round(median(median_ns / n_values), 2) A
     lambda f: f.where(_ok()).join(f.agg(F.min("system").alias("system")), "system", "left_semi").groupBy("host").agg(F.round(F.median(_ns()), 2).alias("ns_value"), F.count("*").alias("n"))
 )
 analysis("an_prefilter", "SELECT system, round(avg(prune_rate), 3) AS prune, median(median_ns) AS scan_ns FROM f WHERE status = 'ok' AND prune_rate IS NOT NULL GROUP BY system")(
-    lambda f: f.where(_ok() & F.col("prune_rate").isNotNull()).groupBy("system").agg(F.round(F.avg("prune_rate"), 3).alias("prune"), F.median("median_ns").alias("scan_ns"))
+    lambda f: f.where(_ok() & F.col("prune_rate").isNotNull()).groupBy("system").agg(F.round(analytics.mean(F.col("prune_rate")), 3).alias("prune"), F.median("median_ns").alias("scan_ns"))
 )
 analysis("an_dedup_speedup", """SELECT system, round(median(median_ns / n_values), 2) AS ns_value, round(median(median_ns / eval_domain), 2) AS ns_domain_value,
     round(median(n_values / eval_domain), 1) AS dedup FROM f WHERE status = 'ok' GROUP BY system""")(
@@ -399,7 +399,7 @@ analysis("an_ratio_grid", f", {_MEDIANS} SELECT a.needle_len, a.system, a.median
 )
 analysis("an_pareto", """, p AS (SELECT host || system AS name, avg(raw_bytes / footprint_bytes) AS ratio, median(median_ns) AS ns FROM f GROUP BY 1)
     SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.ratio >= p.ratio AND o.ns <= p.ns AND (o.ratio > p.ratio OR o.ns < p.ns))""")(
-    lambda f: analytics.pareto(f.groupBy(F.concat("host", "system").alias("name")).agg(F.avg(F.col("raw_bytes") / F.col("footprint_bytes")).alias("ratio"), F.median("median_ns").alias("ns")), "name", "ratio", "ns")
+    lambda f: analytics.pareto(f.groupBy(F.concat("host", "system").alias("name")).agg(analytics.mean(F.col("raw_bytes") / F.col("footprint_bytes")).alias("ratio"), F.median("median_ns").alias("ns")), "name", "ratio", "ns")
 )
 _LENGTHS = [1, 2, 4, 8, 16, 32, 64]
 analysis("an_pivot_len", "SELECT system, " + ", ".join(f"median(median_ns) FILTER (WHERE needle_len = {n}) AS len_{n}" for n in _LENGTHS) + " FROM f GROUP BY system")(
