@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramward.functions.predicates import SINGLE, Query, matches, query
+from gramward.functions.predicates import SINGLE, Query, query
+from gramward.operators import physical
 
 # Decades by their centre (accepted within a quarter of a decade) and dense bands (within a fifth).
 DECADES = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
@@ -131,35 +137,73 @@ def dedupe(queries: DataFrame) -> DataFrame:
     return queries.select("op", key.alias("needles")).distinct()
 
 
-def _literal_array(texts: list[str]) -> Column:
-    """Distinct texts as one literal: thousands of literals would be as many nodes of the plan."""
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in t for t in texts))
-    return F.split(F.lit(mark.join(sorted(set(texts)))), mark)
+#: Rows that are held against the queries at once, so that a needle's hits are a few bits in cache.
+ROWS_AT_ONCE = 8192
 
 
-def count_needles(rows: DataFrame, column: str, needles: dict[str, list[str]]) -> dict[tuple[str, str], int]:
-    """Matches of each (op, needle), all in one scan: a row gives those needles that it holds, which are summed in its task first."""
-    hit = F.array().cast("array<struct<op:string,needle:string>>")
-    for op, own in needles.items():
-        if own:
-            found = F.filter(_literal_array(own), lambda n: TESTS[op](F.col(column), n))  # noqa: B023 (called at once)
-            hit = F.concat(hit, F.transform(found, lambda n: F.struct(F.lit(op).alias("op"), n.alias("needle"))))
-    counts = {(op, n): 0 for op, own in needles.items() for n in own}
-    met = rows.where(F.col(column).isNotNull()).select(F.explode(hit).alias("h")).groupBy("h.op", "h.needle").agg(F.count("*").alias("n"))
-    counts.update({(r["op"], r["needle"]): r["n"] for r in met.collect()})  # one for each needle asked for
-    return counts
+def _pattern(needles: list[bytes]) -> str:
+    """Needles in order as a regular expression over bytes; RE2 takes the same time for each byte, whatever the needles."""
+    return "(?s)" + ".*".join("".join(f"\\x{b:02x}" for b in n) for n in needles)
 
 
-def count_queries(rows: DataFrame, column: str, queries: list[Query]) -> dict[Query, int]:
-    """Matches of queries of several needles, as conditional counts of a few aggregates."""
-    out = {}
-    for at in range(0, len(queries), 64):
-        part = queries[at : at + 64]
-        row = rows.agg(*[F.count_if(matches(F.col(column), q)).alias(f"c{k}") for k, q in enumerate(part)]).first()
-        out |= dict(zip(part, row, strict=True))
+def _match_counts(texts: pa.Array, queries: list[tuple[str, tuple[bytes, ...]]]) -> np.ndarray:
+    """Of each query (operator, needles) the rows of ``texts`` (bytes, none NULL) that match."""
+    hits: dict[bytes, np.ndarray] = {}
+
+    def packed(needle: bytes) -> np.ndarray:
+        if needle not in hits:
+            hits[needle] = np.packbits(pc.match_substring(texts, needle).to_numpy(zero_copy_only=False))
+        return hits[needle]
+
+    out = np.zeros(len(queries), np.int64)
+    for k, (op, all_needles) in enumerate(queries):
+        needles = [n for n in all_needles if n]
+        if not needles or (op == "contains_any" and len(needles) < len(all_needles)):
+            out[k] = len(texts)  # an empty needle is in every row
+        elif op in ("prefix", "suffix"):
+            out[k] = pc.sum((pc.starts_with if op == "prefix" else pc.ends_with)(texts, needles[0])).as_py() or 0
+        elif op == "contains_any":
+            out[k] = np.bitwise_count(reduce(np.bitwise_or, map(packed, needles))).sum()
+        elif len(needles) == 1:
+            out[k] = np.bitwise_count(packed(needles[0])).sum()
+        else:
+            held = np.unpackbits(packed(max(needles, key=len)), count=len(texts)).view(bool)
+            out[k] = pc.sum(pc.match_substring_regex(texts.filter(pa.array(held)), _pattern(needles))).as_py() or 0
     return out
 
 
+def count_queries(rows: DataFrame, column: str, queries: list[Query]) -> dict[Query, int]:
+    """Matches of queries, all in one scan: a task holds its rows against each query and gives one count of each.
+
+    Arrow's substring kernels do it, not conditions of a plan: those of thousands of queries are too much code to compile, which took minutes over the smallest table.
+    """
+    queries = list(dict.fromkeys(queries))
+    asked = [(q.op, q.needles) for q in queries]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(asked), np.int64)
+        for batch in batches:
+            texts = batch.column(0)
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                total += _match_counts(texts.slice(at, ROWS_AT_ONCE), asked)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], names=["k", "n"])
+
+    counts = dict.fromkeys(queries, 0)
+    if queries:
+        texts = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("binary").alias("text"))
+        met = physical.spread(texts).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        counts.update({queries[r["k"]]: r["n"] for r in met.collect()})  # one for each query asked for
+    return counts
+
+
+def count_needles(rows: DataFrame, column: str, needles: dict[str, list[str]]) -> dict[tuple[str, str], int]:
+    """Matches of each (op, needle), all in one scan."""
+    asked = {(op, n): query(op, n) for op, own in needles.items() for n in own}
+    counts = count_queries(rows, column, list(asked.values()))
+    return {key: counts[q] for key, q in asked.items()}
+
+
 def mutations(needle: str, draw: random.Random, tries: int = 8) -> list[str]:
     """The needle with one or two characters changed, ``tries`` times."""
     out = []

@@ -4,6 +4,7 @@ import io
 import json
 import random
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,20 @@ def test_pareto_equals_all_pairs(spark):
 
 def test_checksum_depends_on_order():
     assert column_checksum([b"a", b"b"]) != column_checksum([b"b", b"a"])
+
+
+def test_thousands_of_queries_in_one_scan(spark):
+    """Counts by the trust root of all operators, on odd rows; and not as conditions of a plan, which take minutes to compile for a whole grid."""
+    draw = random.Random(6)
+    letters = ["a", "b", ".", "\\", "é", "\n", "x{2}", "\x00", "𝄞"]
+    text = lambda n: "".join(draw.choice(letters) for _ in range(draw.randint(1, n)))
+    texts = ["", *[text(30) for _ in range(300)]]
+    table = spark.createDataFrame([*enumerate(texts), (999, None)], "row_id long, data string").repartition(3)
+    queries = [query(op, text(3)) for op in generator.SINGLE_OPS for _ in range(300)] + [query(op, "") for op in generator.SINGLE_OPS]
+    queries += [query(op, *[text(2) for _ in range(draw.choice((1, 2, 4, 8, 64)))]) for op in ("multi_contains", "contains_any") for _ in range(900)]
+    queries += [query("multi_contains", "", "a", ""), query("multi_contains", ""), query("contains_any", "zzz", ""), query("contains_any", "zzz", "zzz")]
+    started = time.monotonic()
+    found = generator.count_queries(table, "data", queries)
+    assert time.monotonic() - started < 60
+    assert found == {q: sum(row_matches(q, t.encode()) for t in texts) for q in queries}
+    assert generator.count_queries(table.limit(0), "data", queries[:3]) == dict.fromkeys(queries[:3], 0) and generator.count_queries(table, "data", []) == {}
