@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,19 +136,68 @@ def token_index(rows: DataFrame, id_column: str, column: str) -> DataFrame:
     return spread(rows.select(id_column, column)).select(id_column, F.explode(F.filter(F.split(column, " "), lambda t: t != "")).alias("token")).groupBy("token", id_column).agg(F.count("*").alias("n"))
 
 
+#: A task gives its counts of tokens when it has so many different ones, or has read so many bytes: what it holds is bounded, whatever the texts.
+TOKENS_HELD, BYTES_HELD = 500_000, 64 << 20
+
+
+def _row_token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, n, rows``: occurrences, and rows that have the token, summed over rows of a task."""
+    found, having, read = Counter(), Counter(), 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        tokens = list(found)
+        for at in range(0, len(tokens), 1 << 16):
+            own = tokens[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([found[t] for t in own], pa.int64()), pa.array([having[t] for t in own], pa.int64())], names=["token", "n", "rows"])
+        found.clear()
+        having.clear()
+
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py()
+            tokens = text.split(b" ")
+            found.update(tokens)
+            having.update(set(tokens))
+            read += len(text)
+            if read >= BYTES_HELD or len(found) >= TOKENS_HELD:
+                yield from given()
+                read = 0
+    yield from given()
+
+
+def token_counts(rows: DataFrame, id_column: str, column: str) -> DataFrame:
+    """``token, term_freq, row_freq``: occurrences of each white-space token, and ids of rows that have it.
+
+    Rows are counted within their task, so that only sums of a task's tokens are shuffled. Rows that share an id (or have none, which counts for
+    no id) are the exception: their tokens meet by id first.
+    """
+    texts = rows.select(id_column, column).where(F.col(column).isNotNull())
+    shared = rows.groupBy(id_column).agg(F.count("*").alias("_k")).where((F.col("_k") > 1) | F.col(id_column).isNull()).select(F.col(id_column).alias("_id"))
+    met = None
+    if not shared.isEmpty():
+        same = F.col(id_column).eqNullSafe(F.col("_id"))
+        met = token_index(texts.join(shared, same, "left_semi"), id_column, column).groupBy("token").agg(F.sum("n").alias("n"), F.count(id_column).alias("rows"))
+        texts = texts.join(shared, same, "left_anti")
+    alone = spread(texts.select(F.col(column).cast("binary"))).mapInArrow(_row_token_counts, "token binary, n long, rows long").select(F.col("token").cast("string").alias("token"), "n", "rows")
+    counts = alone if met is None else alone.union(met)
+    return counts.where(F.col("token") != "").groupBy("token").agg(F.sum("n").alias("term_freq"), F.sum("rows").alias("row_freq"))
+
+
 def token_statistics(rows: DataFrame, id_column: str, column: str) -> DataFrame:
     """``token, term_freq, row_freq, place``: tokens in alphabetical order and the running sum of the term frequencies before each.
 
     The running sum goes by first characters: sums within one of them, and the total of those before. Order is by code point.
     """
-    counts = token_index(rows, id_column, column).groupBy("token").agg(F.sum("n").alias("term_freq"), F.count("*").alias("row_freq"))
-    counts = counts.withColumn("_first", F.substring("token", 1, 2))
-    firsts = counts.groupBy("_first").agg(F.sum("term_freq").alias("_n"))
+    # Both sides of the join keep all columns of the counts (``_rows`` for that alone), and ``_first`` is never NULL, so that no test for it is put below one
+    # of them: they are then one plan, and tokens are counted once.
+    counts = token_counts(rows, id_column, column).withColumn("_first", F.coalesce(F.substring("token", 1, 2), F.lit("")))
+    firsts = counts.groupBy("_first").agg(F.sum("term_freq").alias("_n"), F.sum("row_freq").alias("_rows"))
     before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each pair of first characters
-    starts = firsts.select("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = firsts.select("_first", "_rows", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_first").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("_within", F.coalesce(F.sum("term_freq").over(within), F.lit(0)))
-    return placed.join(starts, "_first").select("token", "term_freq", "row_freq", (F.col("_start") + F.col("_within")).alias("place"))
+    joined = placed.join(starts, "_first").where(F.col("_rows") >= F.col("row_freq"))
+    return joined.select("token", "term_freq", "row_freq", (F.col("_start") + F.col("_within")).alias("place"))
 
 
 def token_cover(rows: DataFrame, id_column: str, column: str, needle: str) -> DataFrame:

@@ -205,7 +205,7 @@ register("token_freq", "documents", """
     WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), c AS (
     SELECT token, count(*) AS term_freq, count(DISTINCT doc_id) AS row_freq FROM t WHERE token <> '' GROUP BY token)
     SELECT token, term_freq, row_freq FROM c WHERE row_freq >= 20""")(
-    lambda t: physical.token_index(t, "doc_id", "text").groupBy("token").agg(F.sum("n").alias("term_freq"), F.count("*").alias("row_freq")).where("row_freq >= 20")
+    lambda t: physical.token_counts(t, "doc_id", "text").where("row_freq >= 20")
 )
 
 

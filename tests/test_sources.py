@@ -6,12 +6,13 @@ import random
 import tarfile
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gramward.functions.predicates import query
 from gramward.functions.truth import column_checksum, row_matches
-from gramward.operators import generator
+from gramward.operators import generator, physical
 from gramward.plans import analytics, store
 from gramward.sources import columns
 from gramward.streaming.results import load_stream
@@ -191,3 +192,24 @@ def test_thousands_of_queries_in_one_scan(spark):
     assert time.monotonic() - started < 60
     assert found == {q: sum(row_matches(q, t.encode()) for t in texts) for q in queries}
     assert generator.count_queries(table.limit(0), "data", queries[:3]) == dict.fromkeys(queries[:3], 0) and generator.count_queries(table, "data", []) == {}
+
+
+def test_tokens_are_counted_once(spark, monkeypatch):
+    """Statistics by plain Python with ids that are shared or NULL (which count for no row), in a plan that counts tokens once; and tasks that give their counts early."""
+    draw = random.Random(8)
+    words = ["a", "ab", "b", "é", "𝄞x", "the", "then", "x\n", ""]
+    rows = [(draw.choice([k, k // 2, 7, None]), None if k % 9 == 0 else " ".join(draw.choice(words) for _ in range(draw.randint(0, 9)))) for k in range(200)]
+    for own in (rows, [(k, text) for k, (_, text) in enumerate(rows)]):
+        tokens = [(t, k) for k, text in own if text is not None for t in text.split(" ") if t]
+        expected, place = [], 0
+        for t in sorted({t for t, _ in tokens}):
+            n = sum(x == t for x, _ in tokens)
+            expected.append((t, n, len({k for x, k in tokens if x == t and k is not None}), place))
+            place += n
+        found = physical.token_statistics(spark.createDataFrame(own, "doc_id long, text string").repartition(3), "doc_id", "text")
+        assert sorted(map(tuple, found.collect())) == expected
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(physical, "TOKENS_HELD", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b a", b"c  d", b"a"], pa.binary())], names=["text"])
+    given = [tuple(r.values()) for b in physical._row_token_counts(iter([batch])) for r in b.to_pylist()]
+    assert sorted(given) == [(b"", 1, 1), (b"a", 1, 1), (b"a", 2, 1), (b"b", 1, 1), (b"c", 1, 1), (b"d", 1, 1)]
